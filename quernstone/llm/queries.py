@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import simhash_vptree
+from quernstone.llm import packing, simhash_vptree, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,3 +18,14 @@ def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_simhash_vptree"] = op1_simhash_vptree
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_pairs(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op8_best_fit_packing": op8_best_fit_packing, "op9_winnowing": op9_winnowing}

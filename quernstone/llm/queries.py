@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import packing, simhash_vptree, winnowing
+from quernstone.llm import packing, secret_index, simhash_vptree, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,10 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_best_fit_packing": op8_best_fit_packing, "op9_winnowing": op9_winnowing}
+
+
+def op5_secret_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_index.report(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_secret_trigram_index"] = op5_secret_trigram_index

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import packing, secret_index, simhash_vptree, winnowing
+from quernstone.llm import line_suffixes, packing, secret_index, simhash_vptree, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,10 @@ def op5_secret_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_secret_trigram_index"] = op5_secret_trigram_index
+
+
+def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_suffixes.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op10_line_suffixes"] = op10_line_suffixes

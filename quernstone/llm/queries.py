@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import line_suffixes, packing, secret_index, simhash_vptree, winnowing
+from quernstone.llm import decontaminate, line_suffixes, packing, secret_index, simhash_vptree, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,10 @@ def op10_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_line_suffixes"] = op10_line_suffixes
+
+
+def op6_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op6_decontaminate_cgk"] = op6_decontaminate_cgk

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontaminate, line_suffixes, packing, secret_index, simhash_vptree, winnowing
+from quernstone.llm import decontaminate, line_suffixes, packing, quality_qda, secret_index, simhash_vptree, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,10 @@ def op6_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_decontaminate_cgk"] = op6_decontaminate_cgk
+
+
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op4_quality_qda"] = op4_quality_qda

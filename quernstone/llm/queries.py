@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontaminate, line_suffixes, packing, quality_qda, secret_index, simhash_vptree, winnowing
+from quernstone.llm import decontaminate, line_suffixes, packing, quality_qda, secret_index, simhash_vptree, toxicity_zstd, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_quality_qda"] = op4_quality_qda
+
+
+def op7_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_zstd.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_toxicity_zstd"] = op7_toxicity_zstd

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontaminate, line_suffixes, packing, quality_qda, secret_index, simhash_vptree, toxicity_zstd, winnowing
+from quernstone.llm import chat_snapshots, decontaminate, line_suffixes, packing, quality_qda, secret_index, simhash_vptree, toxicity_zstd, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ def op7_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_toxicity_zstd"] = op7_toxicity_zstd
+
+
+def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.collapse(read(spark, sf_dir, "conversations"))
+
+
+QUERIES["op2_chat_snapshots"] = op2_chat_snapshots
+ORACLE_SQL["op2_chat_snapshots"] = chat_snapshots.ORACLE_SQL

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import chat_snapshots, decontaminate, line_suffixes, packing, quality_qda, secret_index, simhash_vptree, toxicity_zstd, winnowing
+from quernstone.llm import chat_snapshots, decontaminate, html_layout, line_suffixes, packing, quality_qda, secret_index, simhash_vptree, toxicity_zstd, winnowing
 from quernstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,10 @@ def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_chat_snapshots"] = op2_chat_snapshots
 ORACLE_SQL["op2_chat_snapshots"] = chat_snapshots.ORACLE_SQL
+
+
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_html_layout"] = op3_html_layout

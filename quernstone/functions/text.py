@@ -1,12 +1,84 @@
-"""Text normalisations as column expressions (JVM only)."""
+"""Text functions as column expressions (JVM only)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 SPACES = r"[ \t\n\r\f\x0B]+"
+#: What the corpus cleaner deletes, in its order: addresses, runs of spaces, characters outside the kept set.
+URL = r"https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*(),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+NOT_KEPT = "[^0-9a-zA-Z一-龥.， ,\\-。%《*》/•、&＆(—)（+）：？!！“”·]+"
+#: Ranges of scripts.
+HANGUL, HAN, KANA, LATIN = "[가-힣]", "[一-鿿]", "[぀-ヿ]", "[A-Za-z]"
 
 
 def norm_space_lower(text: Column) -> Column:
     """Lower case, runs of ASCII white space as one space, ends trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
+
+
+def norm_answer(text: Column) -> Column:
+    """Without parentheticals, spaces and ASCII punctuation."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", ""), r"[ \t\n\r.,;:!?'\"()\-]", ""))
+
+
+def norm_articles(text: Column) -> Column:
+    """Lower case, punctuation as spaces, words a, an, the dropped, single spaces."""
+    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin("", "a", "an", "the")), " ")
+
+
+def clean_text(text: Column) -> Column:
+    """Addresses deleted, runs of spaces as one, characters outside the kept set deleted, ends trimmed, in this order."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, URL, ""), " +", " "), NOT_KEPT, ""))
+
+
+def share(text: Column, pattern: str, of: str | None = None) -> Column:
+    """Matches of a character class over those of another (or over all characters); 0 where there are none."""
+    whole = F.regexp_count(text, F.lit(of)) if of else F.length(text)
+    return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)).cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def first_reason(*cases: tuple[Column, str]) -> Column:
+    """Name of the first condition that holds, or null."""
+    out = F.when(*_pair(cases[0]))
+    for c in cases[1:]:
+        out = out.when(*_pair(c))
+    return out
+
+
+def _pair(case: tuple[Column, str]) -> tuple[Column, Column]:
+    return case[0], F.lit(case[1])
+
+
+def all_reasons(*cases: tuple[Column, str]) -> Column:
+    """Names of all conditions that hold, in order, once each, joined by ';'."""
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in cases]))), ";")
+
+
+def split_think(text: Column) -> tuple[Column, Column]:
+    """What follows the last closing think mark (or all), and whether there is one."""
+    return F.trim(F.substring_index(text, "</think>", -1)), F.contains(text, F.lit("</think>"))
+
+
+def suffixed_int(text: Column) -> Column:
+    """12, 3K, 2M, 1B, 4T as integers; null otherwise."""
+    number = F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([KMBTkmbt]?)\s*$", 1)
+    unit = F.upper(F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([KMBTkmbt]?)\s*$", 2))
+    factor = F.when(unit == "K", 10**3).when(unit == "M", 10**6).when(unit == "B", 10**9).when(unit == "T", 10**12).otherwise(F.lit(1).cast("long"))
+    return F.when(number != "", (number.cast("double") * factor).cast("long"))
+
+
+def hash_mod(text: Column, modulus: int) -> Column:
+    """SHA-1 of the text as a 160-bit number, modulo `modulus`, by folding its hex digits."""
+    digits = F.transform(F.filter(F.split(F.sha1(text), ""), lambda d: d != ""), lambda d: F.conv(d, 16, 10).cast("long"))
+    return F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: (a * 16 + d) % modulus)
+
+
+def ramp(i: Column, start: int, full: int, low: float, high: float) -> Column:
+    """low up to start, high from full on, linear between."""
+    return F.when(i <= start, F.lit(low)).when(i >= full, F.lit(high)).otherwise(low + (high - low) * (i - start) / F.lit(float(max(1, full - start))))
+
+
+def round_up(n: Column, multiple: int) -> Column:
+    return F.ceil(n / multiple) * multiple

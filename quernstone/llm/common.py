@@ -36,7 +36,23 @@ def stored(df: DataFrame) -> DataFrame:
     if not _made:
         atexit.register(clear)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quernstone_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for t in tables:
+        for spark, path in [x for x in _made if x[1] == getattr(t, "_quernstone_path", None)]:
+            _made.remove((spark, path))
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clear() -> None:
@@ -44,9 +60,7 @@ def clear() -> None:
     while _made:
         spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already
             return
 

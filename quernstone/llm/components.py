@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quernstone.llm.common import stored
+from quernstone.llm.common import discard, stored
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = stored(_distinct(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     seen = None
     for _ in range(most_rounds):
-        edges = stored(_small_star(_large_star(edges)))
+        before, edges = edges, stored(_small_star(_large_star(edges)))
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.sum(F.hash("a", "b").cast("long")).alias("s")).first()
         if now == seen or not now["n"]:
             break

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quernstone.llm.common import partitions, stored
+from quernstone.llm.common import discard, partitions, stored
 
 #: Words that a repeated run must have to be deleted, so that short lines that recur by chance stay.
 LEAST = 10
@@ -25,7 +25,9 @@ def _repeated_lines(docs: DataFrame) -> DataFrame:
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
     lines = stored(split.select("doc_id", "th", "line", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), "l").alias("h2")))
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return lines.join(often, ["h1", "h2"]).select("doc_id", "th", "line", "h1", "h2")
+    repeated = stored(lines.join(often, ["h1", "h2"]).select("doc_id", "th", "line", "h1", "h2"))
+    discard(lines)
+    return repeated
 
 
 def _places(lines: DataFrame) -> DataFrame:
@@ -44,26 +46,27 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def later_copies(docs: DataFrame) -> DataFrame:
     """doc_id, th, runs: array of (line, n), the lines that start a later copy and the most lines (a power of two) known to be one; by line."""
-    lines = stored(_repeated_lines(docs))
+    lines = _repeated_lines(docs)
     places = _places(lines)
     same = lines["doc_id"].eqNullSafe(places["doc_id"]) & (lines["th"] == places["th"])
-    placed = lines.join(places, same).select(F.expr(f"shiftleft(place, {_LINE_BITS}) + line").alias("pos"), "h1", "h2").distinct()
-    level = stored(_named(stored(placed), ["h1", "h2"]))
-    copies = level.filter("name < pos").select("pos", F.lit(1).alias("n"))
+    placed = stored(lines.join(places, same).select(F.expr(f"shiftleft(place, {_LINE_BITS}) + line").alias("pos"), "h1", "h2").distinct())
+    level = stored(_named(placed, ["h1", "h2"]))
+    discard(lines, placed)
+    levels, copies = [level], level.filter("name < pos").select("pos", F.lit(1).alias("n"))
     for k in range(_LINE_BITS):
         ahead = level.select((F.col("pos") - (1 << k)).alias("pos"), F.col("name").alias("next"))
-        level = stored(_doubled(level, ahead))
+        pairs = stored(level.join(ahead, "pos").select("pos", F.col("name").alias("first"), "next"))
+        level = stored(_named(pairs, ["first", "next"]))
+        levels.append(level)
+        discard(pairs)
         if level.isEmpty():
             break
         copies = copies.unionByName(level.filter("name < pos").select("pos", F.lit(2 << k).alias("n")))
     longest = copies.groupBy("pos").agg(F.max("n").alias("n"))
     by_doc = longest.groupBy(F.expr(f"shiftright(pos, {_LINE_BITS})").alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.expr(f"int(pos % {1 << _LINE_BITS}L)").alias("line"), "n"))).alias("runs"))
-    return by_doc.join(places, "place").select("doc_id", "th", "runs")
-
-
-def _doubled(level: DataFrame, ahead: DataFrame) -> DataFrame:
-    pairs = stored(level.join(ahead, "pos").select("pos", F.col("name").alias("first"), "next"))
-    return _named(pairs, ["first", "next"])
+    found = stored(by_doc.join(places, "place").select("doc_id", "th", "runs"))
+    discard(places, *levels)
+    return found
 
 
 def _merged(runs: Column) -> Column:

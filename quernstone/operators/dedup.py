@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.functions.text import norm_space_lower
@@ -24,10 +28,6 @@ def exact(df: DataFrame, text: str, order: str) -> DataFrame:
 
 def nfkc(text: Column) -> Column:
     """Unicode NFKC, lower case, other than word characters and spaces dropped, spaces collapsed (Spark has no NFKC)."""
-    import re
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:

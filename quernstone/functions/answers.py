@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 
 def multiple_choice(text: Column, letters: str = "ABCD") -> Column:
@@ -22,7 +23,7 @@ def judge_score(text: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.coalesce(marked, ratio).cast("double")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def boxed(s: pd.Series) -> pd.Series:
     r"""Content of the last \boxed{...} with balanced braces, or null."""
 
@@ -40,7 +41,7 @@ def boxed(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def latex_normal(s: pd.Series) -> pd.Series:
     """A LaTeX answer in one spelling: spacing and sizing commands dropped, fractions and roots braced, units and percent signs dropped."""
     drop = re.compile(r"\\(?:left|right|!|,|;|quad|displaystyle)|\\text\{[^}]*\}|\\%|%|\$|\s|\^\{?\\circ\}?|\.$")
@@ -57,7 +58,7 @@ def latex_normal(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces; other text as it is."""
 
@@ -70,7 +71,7 @@ def canonical_json(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_templates(s: pd.Series) -> pd.Series:
     """Text without {{ ... }}, nested ones too."""
 

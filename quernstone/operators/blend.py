@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ALL = Window.partitionBy(F.lit(0))
+
+
+def everything():
+    """The window of all members."""
+    return Window.partitionBy(F.lit(0))
 
 
 def capped_weights(members: DataFrame, size: str, category: str, capped: str, cap: float) -> DataFrame:
     """weight by size; the category `capped` gets at most `cap` in all, and what it leaves goes to the others in proportion."""
-    share = F.sum(F.when(F.col(category) == capped, F.col(size))).over(ALL) / F.sum(size).over(ALL)
+    share = F.sum(F.when(F.col(category) == capped, F.col(size))).over(everything()) / F.sum(size).over(everything())
     limit = F.least(share, F.lit(cap))
     own = F.col(size) / F.sum(size).over(Window.partitionBy(F.col(category) == capped))
     return members.withColumn("weight", own * F.when(F.col(category) == capped, limit).otherwise(1 - F.coalesce(limit, F.lit(0.0))))
@@ -29,7 +33,7 @@ def two_level(members: DataFrame, bucket: str, target: Column, size: str, fixed:
 
 def epochs(blend: DataFrame, samples: int, split: float = 1.0) -> DataFrame:
     """samples and epoch of each member: w / sum(w) * samples, over its bins times split."""
-    n = F.col("weight") / F.sum("weight").over(ALL) * samples
+    n = F.col("weight") / F.sum("weight").over(everything()) * samples
     return blend.withColumn("samples", n).withColumn("epoch", n / (F.col("bins") * split))
 
 
@@ -37,7 +41,7 @@ def rederived(blend: DataFrame, other: DataFrame) -> DataFrame:
     """Weights over another tree's bins that keep each member's epoch."""
     j = blend.join(other.withColumnRenamed("bins", "other_bins"), "member")
     kept = j.withColumn("raw", F.col("weight") / F.col("bins") * F.col("other_bins"))
-    return kept.select("member", (F.col("raw") / F.sum("raw").over(ALL)).alias("weight"))
+    return kept.select("member", (F.col("raw") / F.sum("raw").over(everything())).alias("weight"))
 
 
 def parity_shard(i: Column, world: int, rank: Column) -> Column:

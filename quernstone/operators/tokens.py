@@ -125,7 +125,8 @@ def sft_bin(ids: Column, trained: Column, size: int, pad: int = EOD) -> tuple[Co
 def contract_reasons(ids: Column, labels: Column, size: int, vocabulary: int) -> Column:
     """What is wrong with an SFT bin, joined by ';'."""
     real = F.transform(ids, lambda t: F.when(t < 0, -1 - t).otherwise(t))
-    shift = F.forall(F.sequence(F.lit(0), F.size(ids) - 2), lambda i: (F.get(labels, i) == -100) | (F.get(labels, i) == F.get(real, i + 1)))
+    n = F.size(ids) - 1
+    shift = F.forall(F.zip_with(F.slice(labels, F.lit(1), n), F.slice(real, F.lit(2), n), lambda a, b: (a == -100) | (a == b)), lambda x: x)
     cases = ((F.size(ids) != size, "ids_length"), (F.size(labels) != size, "labels_length"), (F.array_max(real) >= vocabulary, "vocab"), (~shift, "shift"), (F.element_at(labels, -1) != -100, "tail_label"), (~F.exists(ids, lambda t: t < 0), "no_marker"))
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in cases])), ";")
 

@@ -1,4 +1,3 @@
-import duckdb
 
 import __spark_entry__ as entry
 from conftest import SF
@@ -10,3 +9,12 @@ def test_entry_runs(spark):
 
 def test_each_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True).returncode == 0

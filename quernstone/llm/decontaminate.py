@@ -39,13 +39,19 @@ def allowed(length: int, share: float = SHARE) -> int:
     return int(share * length + 1e-9)
 
 
-@dataclass
 class Repeat:
-    """One walk: bits[j, word] says whether step j advances after the word; words[d, item] is what the item has at the d-th sampled step."""
+    """One walk: whether step j advances after a word is a bit of the word's random numbers; words[d, item] is what the item has at the d-th
+    sampled step. The random numbers are made again from the seed wherever the walk goes, and are not sent."""
+
+    def __init__(self, seed: int, vocabulary: int, steps: list[int], words: np.ndarray):
+        self.seed, self.vocabulary, self.steps, self.words = seed, vocabulary, steps, words
+        self.bits = np.random.default_rng(seed).integers(0, 2**64, (steps[-1] // 64 + 1, vocabulary), dtype=np.uint64)
+
+    def __reduce__(self):
+        return Repeat, (self.seed, self.vocabulary, self.steps, self.words)
 
-    bits: np.ndarray
-    steps: list[int]
-    words: np.ndarray
+    def advance(self, j: int, w: np.ndarray) -> np.ndarray:
+        return (self.bits[j >> 6][w] >> np.uint64(j & 63) & np.uint64(1)).astype(np.int64)
 
 
 @dataclass
@@ -63,7 +69,7 @@ def matching(ids: np.ndarray, start: np.ndarray, item: np.ndarray, r: Repeat) ->
         if j in r.steps:
             good = w == r.words[r.steps.index(j)][item[kept]]
             kept, at, w = kept[good], at[good], w[good]
-        at = at + r.bits[j][w]
+        at = at + r.advance(j, w)
     return kept
 
 
@@ -121,14 +127,14 @@ class Index:
         use = np.array(trials)[trial] == item
         start, item, trial, hit = start[use], item[use], trial[use], np.zeros(len(trials), bool)
         while len(b.repeats) < MOST_REPEATS and (not b.repeats or hit.mean() < recall):
-            bits = rng.integers(0, 2, (steps, len(self.vocabulary) + 1), dtype=np.int64)
-            r = Repeat(bits, sorted(rng.choice(steps, SAMPLED, replace=False).tolist()), np.full((SAMPLED, len(self.sequences)), -1, np.int32))
+            sampled = sorted(rng.choice(steps, SAMPLED, replace=False).tolist())
+            r = Repeat(int(rng.integers(2**62)), len(self.vocabulary) + 1, sampled, np.full((SAMPLED, len(self.sequences)), -1, np.int32))
             walk = own_at.copy()
             for j in range(r.steps[-1] + 1):
                 w = own[walk]
                 if j in r.steps:
                     r.words[r.steps.index(j), b.items] = np.where(w > 0, w, -1)
-                walk = walk + bits[j][w]
+                walk = walk + r.advance(j, w)
             if (r.words[:, b.items] < 0).all(axis=0).any():
                 continue
             hit[trial[matching(ids, start, item, r)]] = True
@@ -211,7 +217,7 @@ def search(index: Index, docs: list[tuple[int, int, np.ndarray]]) -> Iterator[tu
 RESULT = "doc_id long, item_id long, edits int, item_words int, end_word long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = 5_000) -> DataFrame:
     """A row for each document and item that leaks into it: doc_id, item_id, edits, item_words, end_word.
 
     Null or empty texts and items, and items under five words, match nothing. Very long texts: linear work. Rows repeated: a row each. Ties: the

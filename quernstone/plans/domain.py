@@ -123,19 +123,19 @@ def sft(spark, sf):
     t = table(spark, sf, "conversations").filter("role <> 'system'").select("conv_id", "turn", T.word_ids(F.col("text"), 1000).alias("ids"), (F.col("role") == "assistant").alias("on"))
     c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ids", "on"))).alias("m"))
     flat = c.select("conv_id", F.flatten(F.transform("m", lambda x: x["ids"])).alias("ids"), F.flatten(F.transform("m", lambda x: F.array_repeat(x["on"], F.size(x["ids"])))).alias("on"))
-    size = 4096
+    size = 4096  # the results take names of their own: an alias "ids" would stand for the column inside the lambdas
     ids, labels = T.sft_bin(F.col("ids"), F.col("on"), size)
-    return flat.filter(F.size("ids").between(1, size)).select("conv_id", F.size("ids").alias("n"), F.aggregate("on", F.lit(0).cast("long"), lambda a, x: a + x.cast("int")).alias("trained"), F.get("on", F.lit(0)).alias("first_on"), ids.alias("ids"), labels.alias("labels"))
+    return flat.filter(F.size("ids").between(1, size)).select("conv_id", F.size("ids").alias("n"), F.aggregate("on", F.lit(0).cast("long"), lambda a, x: a + x.cast("int")).alias("trained"), F.get("on", F.lit(0)).alias("first_on"), ids.alias("input_ids"), labels.alias("labels"))
 
 
 @query("l20_sft_documents")
 def l20(spark, sf):
-    return sft(spark, sf).select("conv_id", "n", F.size("ids").alias("size"), F.size(F.filter("labels", lambda x: x != -100)).alias("labels"))
+    return sft(spark, sf).select("conv_id", "n", F.size("input_ids").alias("size"), F.size(F.filter("labels", lambda x: x != -100)).alias("labels"))
 
 
 @query("l23_contract_check", "SELECT '' AS reasons")
 def l23(spark, sf):
-    return sft(spark, sf).select(T.contract_reasons(F.col("ids"), F.col("labels"), 4096, 1000).alias("reasons")).distinct()
+    return sft(spark, sf).select(T.contract_reasons(F.col("input_ids"), F.col("labels"), 4096, 1000).alias("reasons")).distinct()
 
 
 @query("l24_render_check", "SELECT conv_id, count(*) AS opens, count(*) AS closes FROM conversations GROUP BY conv_id")

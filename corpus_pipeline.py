@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.llm import decontaminate, line_suffixes, packing, quality_qda, simhash_vptree
+from quernstone.llm import decontaminate, line_suffixes, packing, quality_qda, shingle_jaccard
 from quernstone.llm.common import read, stored
 
 
@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return simhash_vptree.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of at least 0.8) stays, the one with the smallest doc_id."""
+    return shingle_jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,153 @@
+"""Near-duplicates by Jaccard similarity of five-word shingle sets, for the pipeline's near_dedup stage.
+
+Documents with equal shingle sets are one point. Candidates come from MinHash: BANDS buckets of ROWS minima each, in which two points of
+similarity 0.8 miss each other altogether with probability 5e-8 ((1 - 0.8^4)^32). In each bucket the points' whole sets are compared exactly, by
+flooding: linked points leave the search, so no list of all pairs is ever made. Only points that share a bucket get their sets, made
+from their texts a second time, so no table of all sets is stored. Buckets over `cap` points are dealt in blocks, and every pair of
+blocks is a task of its own."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from quernstone.llm.common import bytes_of, discard, stored
+from quernstone.llm.components import components
+
+SHINGLE = 5
+#: Least similarity of a link, as a fraction, so that comparisons are exact.
+LEAST = (4, 5)
+BANDS, ROWS = 32, 4
+SEED = 42
+_rng = np.random.default_rng(SEED)
+_XOR = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64)
+_ODD = _rng.integers(0, 2**63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles sketched at a time, so that very long texts need bounded memory.
+BLOCK = 4096
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct XXH64 of UTF-8 text's shingles: A-Z lower-cased, ASCII white space separates words; of fewer words, one of them all."""
+    words = text.lower().split()
+    n, digest = max(1, len(words) - SHINGLE + 1), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(n)), np.uint64, n))
+
+
+def key_of(s: np.ndarray) -> int:
+    """Signed 64-bit name of a shingle set."""
+    return int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True)
+
+
+def buckets(s: np.ndarray) -> np.ndarray:
+    """The buckets (signed longs) of a shingle set, one for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(s), BLOCK):
+        x = (s[None, i : i + BLOCK] ^ _XOR) * _ODD
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, x.min(axis=1))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        out = (out ^ least[r::ROWS]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, buckets) for each row of docs. Null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            rows = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *rows], names=["doc_id", "key", "buckets"])
+
+    return docs.select("doc_id", bytes_of().alias("t")).mapInArrow(run, "doc_id long, key long, buckets array<long>")
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """(key, shingles) for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():  # a row each: sets of long texts are large
+                s = shingles(t)
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(s)], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return docs.select(bytes_of().alias("t")).mapInArrow(run, "key long, shingles array<long>")
+
+
+def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Star edges (positions) of the components that links of LEAST similarity make of the sets; a reached set is not looked for again."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    mark, left, found = np.zeros(ids.max() + 1, np.int64), np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        left[seed], front = False, [seed]
+        while front and left.any():
+            now = front.pop()
+            own = ids[starts[now] : starts[now] + sizes[now]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[ids], starts)
+            mark[own] = 0
+            p, q = LEAST
+            hit = np.flatnonzero(left & ((p + q) * common >= p * (sizes + sizes[now])))
+            left[hit] = False
+            front += hit.tolist()
+            found += [(seed, int(j)) for j in hit]
+    return found
+
+
+def links(points: DataFrame, docs: DataFrame, cap: int = 4096) -> DataFrame:
+    """Edges (a, b) between keys that connect what pairs of at least LEAST similarity connect. points: key, least, buckets; docs hold their texts."""
+    dealt = points.select("key", F.explode("buckets").alias("bucket"))
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stored(dealt.join(shared, "bucket"))
+    keys = met.select("key").distinct()
+    ids = points.join(keys, "key", "left_semi").select(F.col("least").alias("doc_id")).filter("doc_id is not null")
+    texts = docs.join(ids, "doc_id", "left_semi").select("text").unionByName(docs.filter("doc_id is null").select("text"))
+    sets = stored(sets_of(texts).dropDuplicates(["key"]))
+    k = F.ceil(F.col("n") / cap).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
+    blocks = met.withColumn("k", k).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    blocks = blocks.select("key", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def compare(bucket: pd.DataFrame) -> pd.DataFrame:
+        keys = bucket["key"].to_numpy()
+        at = search(list(bucket["shingles"])) if len(keys) > 1 else []
+        return pd.DataFrame({"a": [keys[i] for i, _ in at], "b": [keys[j] for _, j in at]}, dtype=np.int64)
+
+    found = stored(blocks.join(sets, "key").groupBy("bucket", "lo", "hi").applyInPandas(compare, "a long, b long").distinct())
+    discard(met, sets)
+    return found
+
+
+def near_duplicates(docs: DataFrame, cap: int = 4096) -> DataFrame:
+    """A row for each document: doc_id, component_id (smallest doc_id reachable through links), group_size (rows of docs in the component).
+
+    Null, empty or blank text: one shingle, linked like any other. Null doc_id: the row takes part, and never is a component's id unless the
+    whole component has none. Repeated rows: a row each. Empty table: empty result. Columns other than doc_id and text are ignored."""
+    made = stored(sketches(docs))
+    points = stored(made.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("buckets").alias("buckets")))
+    roots = components(links(points, docs, cap)).withColumnRenamed("node", "key")
+    rooted = points.join(roots, "key", "left").select("key", "least", "n", F.coalesce("root", "key").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
+    member = rooted.select("key", "root").join(named, "root").select("key", "component_id", "group_size")
+    return made.join(member, "key").select("doc_id", "component_id", "group_size")
+
+
+def keep_one(docs: DataFrame, cap: int = 4096) -> DataFrame:
+    """docs with one document of each near-duplicate group, the one with the smallest doc_id; columns unchanged.
+
+    doc_id is the key: of rows that repeat a doc_id one stays. Rows without doc_id all stay."""
+    gone = near_duplicates(docs, cap).filter("doc_id <> component_id").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti")
+    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))

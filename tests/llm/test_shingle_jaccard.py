@@ -1,0 +1,66 @@
+import random
+
+import corpus_pipeline as P
+from conftest import SF
+from quernstone.llm import shingle_jaccard as J
+
+
+def slow_set(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def slow_kept(rows):
+    """Ids that stay: the smallest of each component of five-word Jaccard >= 0.8, all pairs compared."""
+    ids = sorted(d for d, _ in rows)
+    sets, root = {d: slow_set(t) for d, t in rows}, {d: d for d in ids}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if min(len(sets[a]), len(sets[b])) * 5 >= max(len(sets[a]), len(sets[b])) * 4 and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d for d in ids if find(d) == d}
+
+
+def made():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=rng.choice([0, 2, 4, 5, 40, 150, 400]))) for _ in range(60)]
+    for t in texts[:40]:
+        for edits in (1, 2, 4, 8):
+            w = t.split() or ["x"]
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+            texts.append(" ".join(w))
+    base = rng.choices([f"v{i}" for i in range(400)], k=200)
+    for _ in range(40):  # one large group of which not all pairs are links
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(200)] = f"e{rng.randrange(99)}"
+        texts.append(" ".join(w))
+    return [(i * 3, t) for i, t in enumerate(texts + [None, "", " \t\r\x0b", "A b c d E", "a b c d e"])]
+
+
+def test_stage_against_brute_force_jaccard(spark):
+    rows = made()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_kept(rows)
+    assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == want
+    assert {r.doc_id for r in J.keep_one(docs, cap=3).collect()} == want
+
+
+def test_edge_cases(spark):
+    assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "only here twice"), (None, "only here twice"), (2, "zz y"), (2, "zz y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "'s' source", "text")
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.group_size) for r in J.near_duplicates(df).collect()) == [(-1, -1, 2), (-1, -1, 2), (-1, 1, 2), (1, 1, 2), (2, 2, 2), (2, 2, 2)]
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, -1, 1, 2]

@@ -244,6 +244,14 @@ def a37(spark, sf):
     return S.coverage(o)
 
 
+@query("a37_sweep_line_coverage_whole")
+def a37_whole(spark, sf):
+    """a37 over all orders."""
+    day = F.expr("unix_timestamp(o_orderdate) div 86400")
+    kind = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    return S.coverage(table(spark, sf, "orders").select(day.alias("start"), (day + 1 + F.col("o_orderkey") % 5).alias("stop"), kind.alias("kind")))
+
+
 @query("a38_drop_rate_with_examples", "WITH d AS (SELECT doc_id, lang, contains(text, '!!') AS bad FROM documents) SELECT lang, avg(CAST(bad AS INT)) AS rate, array_to_string(list(doc_id ORDER BY doc_id) FILTER (bad)[1:8], ',') AS examples FROM d GROUP BY lang")
 def a38(spark, sf):
     """At most eight examples: that limit is the feature."""

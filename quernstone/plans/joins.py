@@ -121,6 +121,32 @@ def j15(spark, sf):
     return intervals.overlaps(*spans(spark, sf), 30).filter("a_start >= b_start and a_stop <= b_stop").select("a", "b")
 
 
+def whole_spans(spark, sf):
+    """Every order is on one side: finished ones (status F) on the left, all others on the right."""
+    day = F.expr("unix_timestamp(o_orderdate) div 86400")
+    o = t(spark, sf, "orders")
+    done = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    left = o.filter(done).select(F.col("o_orderkey").alias("a"), day.alias("a_start"), (day + 2).alias("a_stop"))
+    right = o.filter(~done).select(F.col("o_orderkey").alias("b"), day.alias("b_start"), (day + 3).alias("b_stop"))
+    return left, right
+
+
+@query("j14_interval_overlap_whole")
+def j14_whole(spark, sf):
+    """j14 over all orders. Equal spans of a side meet once, with their number, so pairs do not grow with the orders of a day."""
+    left, right = whole_spans(spark, sf)
+    a, b = left.select("a_start", "a_stop").distinct(), right.groupBy("b_start", "b_stop").agg(F.count("*").alias("c"))
+    length = F.least("a_stop", "b_stop") - F.greatest("a_start", "b_start")
+    met = intervals.overlaps(a, b, 4).groupBy("a_start", "a_stop").agg(F.sum(length * F.col("c")).alias("covered"), F.sum("c").alias("n"))
+    return left.join(met, ["a_start", "a_stop"]).select("a", "covered", "n")
+
+
+@query("j15_interval_containment_whole")
+def j15_whole(spark, sf):
+    """j15 over all orders: its rows are the pairs themselves."""
+    return intervals.overlaps(*whole_spans(spark, sf), 4).filter("a_start >= b_start and a_stop <= b_stop").select("a", "b")
+
+
 @query("j16_similarity_arg_max", """WITH w AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), p AS (SELECT a.item_id, b.item_id AS best, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS s FROM w a JOIN w b ON a.item_id <> b.item_id)
     SELECT item_id, best, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, best) AS r FROM p WHERE s > 0) WHERE r = 1""")
 def j16(spark, sf):

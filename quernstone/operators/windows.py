@@ -49,9 +49,9 @@ def apportion(parts: DataFrame, weight: str, order: str, total: int) -> DataFram
 
 def positions(tokens: Column, boundary: int) -> Column:
     """Position of each token in its segment; segments begin after a boundary token."""
-    starts = F.transform(tokens, lambda t, i: F.when((i == 0) | (F.get(tokens, i - 1) == boundary), i))
-    first = F.aggregate(starts, F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct(F.coalesce(x, a["s"]).alias("s"), F.concat(a["out"], F.array(F.coalesce(x, a["s"]))).alias("out")))["out"]
-    return F.zip_with(first, F.sequence(F.lit(0), F.size(tokens) - 1), lambda s, i: i - s)
+    starts = F.filter(F.transform(tokens, lambda t, i: F.when((i == 0) | (F.get(tokens, i - 1) == boundary), i)), lambda i: i.isNotNull())
+    segments = lambda x: F.transform(x, lambda s, k: F.sequence(F.lit(0), F.coalesce(F.get(x, k + 1), F.size(tokens)) - s - 1))
+    return F.flatten(F.get(F.transform(F.array(starts), segments), F.lit(0)))
 
 
 def boundaries(position_ids: Column) -> Column:

@@ -35,3 +35,20 @@ def test_coverage_of_all_orders(spark, tmp_path):
     days = range(min(d for _, d, _ in o), max(d + 1 + k % 5 for k, d, _ in o))
     want = Counter("both" if t in cover[True] and t in cover[False] else "a" if t in cover[True] else "b" if t in cover[False] else "idle" for t in days)
     assert {r.state: r.n for r in run(spark, "a37_sweep_line_coverage_whole", str(tmp_path))} == want
+
+
+def test_segments_of_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert any(len(t) > 300 for t in texts.values())
+    got = {n: {r.doc_id: tuple(r)[1:] for r in run(spark, n)} for n in ("w06_run_ends_whole", "w08_position_reset_whole", "w09_segment_boundaries_whole", "w11_merge_pad_segments", "w18_repeated_pattern_whole")}
+    for d, text in texts.items():
+        t = [len(w) % 7 for w in text.split(" ")]
+        ends = [i + 1 for i in range(len(t) - 1) if t[i] == 0 and t[i + 1] != 0]
+        assert got["w06_run_ends_whole"].get(d) == ((len(ends), sum(i % 4 == 0 for i in ends)) if ends else None)
+        starts = [i for i in range(len(t)) if i == 0 or t[i - 1] == 0]
+        pos = [i - max(s for s in starts[max(0, k - 1) : k + 1] if s <= i) for k, s0 in enumerate(starts) for i in range(s0, (starts + [len(t)])[k + 1])]
+        assert got["w08_position_reset_whole"][d] == (sum(pos), max(pos))
+        assert got["w09_segment_boundaries_whole"][d] == (len(starts), len(t))
+        kept = [s for k, s in enumerate(starts) if k == 0 or any(t[s : (starts + [len(t)])[k + 1]])]
+        assert got["w11_merge_pad_segments"][d][0] == kept + [len(t)]
+        assert got["w18_repeated_pattern_whole"][d] == (any(t[i : i + 3] == t[i + 3 : i + 6] for i in range(len(t) - 5)),)

@@ -52,3 +52,26 @@ def test_segments_of_whole_texts(spark):
         kept = [s for k, s in enumerate(starts) if k == 0 or any(t[s : (starts + [len(t)])[k + 1]])]
         assert got["w11_merge_pad_segments"][d][0] == kept + [len(t)]
         assert got["w18_repeated_pattern_whole"][d] == (any(t[i : i + 3] == t[i + 3 : i + 6] for i in range(len(t) - 5)),)
+
+
+def test_bm25_over_every_document(spark, tmp_path):
+    import math
+
+    texts = [f"alpha w{i % 5} w{i % 3} " + "filler " * (900 if i % 4 == 0 else i) + ("beta" if i in (4, 8, 9) else "") for i in range(24)]
+    queries = ["beta alpha", "w1 w2", "beta"]
+    spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(queries)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = [t.split() for t in texts]
+    mean, want = sum(map(len, words)) / len(words), {}
+    for q, text in enumerate(queries):
+        scores = {}
+        for i, w in enumerate(words):
+            for term in text.split():
+                df, tf = sum(term in x for x in words), w.count(term)
+                if tf:
+                    scores[i] = scores.get(i, 0) + math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        for i, s in sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:3]:
+            want[q, i] = round(s, 6)
+    got = {(r.query_id, r.doc_id): r.score for r in run(spark, "j17_bm25_retrieval_whole", str(tmp_path))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert any(len(texts[i]) >= 3000 for _, i in got)

@@ -64,6 +64,21 @@ def coverage(spans: DataFrame) -> DataFrame:
     return rows.filter("n is not null").groupBy(state.alias("state")).agg(F.sum("n").alias("n"))
 
 
+def running(df: DataFrame, key: str, name: str, value: Column | None = None, group: Column | None = None) -> DataFrame:
+    """df with name: the sum of value (default: 1, that is the place) over all rows up to this one, by group (a small integer), then key (a long; nulls last).
+
+    Rows are dealt to ranges of key; a running sum of the ranges' sums is carried into each, so only one row of each range meets in one task."""
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    width = (hi - lo) // 256 + 1
+    place = F.coalesce(F.expr(f"({key} - {lo}L) div {width}L"), F.lit(300)) + (F.lit(0) if group is None else group.cast("long") * 1000)
+    ranged = df.withColumn("__v", F.lit(1) if value is None else value).withColumn("__r", place)
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy("__r").agg(F.sum("__v").alias("s")).select("__r", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__c"))  # at most 258 rows a group
+    inside = Window.partitionBy("__r").orderBy(F.asc_nulls_last(key)).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("__s", F.sum("__v").over(inside)).join(F.broadcast(carried), "__r").withColumn(name, F.coalesce("__s", F.lit(0)) + F.col("__c")).drop("__v", "__r", "__s", "__c")
+
+
 def rate_with_examples(df: DataFrame, key: str, bad: str, example: str, most: int) -> DataFrame:
     """Rate of bad rows and the first `most` examples of each key; every task keeps that many, then they are merged."""
     w = Window.partitionBy(key, "__p").orderBy(example)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.operators import dedup
+from quernstone.operators import dedup, statistics
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
 
@@ -92,6 +92,14 @@ def d10(spark, sf):
     return b.intersect(cuts)
 
 
+@query("d10_intersect_cuts_whole")
+def d10_whole(spark, sf):
+    """d10 with the offsets of all documents."""
+    b = statistics.running(docs(spark, sf).select("doc_id", "n_chars"), "doc_id", "x", F.col("n_chars") % 64).select("x").distinct()
+    most = b.agg(F.max("x")).first()[0]
+    return b.intersect(spark.range(0, 0 if most is None else most + 1, 3).select(F.col("id").alias("x")))
+
+
 @query("d11_except_algebra", "SELECT 'only' AS part, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'both', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)")
 def d11(spark, sf):
     d, l = docs(spark, sf).select("doc_id"), table(spark, sf, "labels").select("doc_id")  # noqa: E741

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quernstone.operators import intervals, retrieval
+from quernstone.operators import intervals, retrieval, statistics
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
 
@@ -99,6 +99,16 @@ def j13(spark, sf):
     return intervals.overlaps(at, o, 4000).select(F.col("a_start").alias("at"), "doc_id")
 
 
+@query("j13_ordinal_lookup_chain_whole")
+def j13_whole(spark, sf):
+    """j13 with the offsets of all documents."""
+    o = statistics.running(t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "b_stop", F.col("n_chars"))
+    o = o.select("doc_id", (F.col("b_stop") - F.coalesce("n_chars", F.lit(0))).alias("b_start"), "b_stop")
+    most = o.agg(F.max("b_stop")).first()[0] or 0
+    at = spark.range(0, -(-most // 1000)).select((F.col("id") * 1000).alias("a_start"), (F.col("id") * 1000 + 1).alias("a_stop"))
+    return intervals.overlaps(at, o, 4000).select(F.col("a_start").alias("at"), "doc_id")
+
+
 LEFT = "(SELECT o_orderkey AS a, epoch(o_orderdate)::BIGINT // 86400 AS a0, epoch(o_orderdate)::BIGINT // 86400 + 2 AS a1 FROM orders WHERE o_orderkey % 50 < 2)"
 RIGHT = "(SELECT o_orderkey AS b, epoch(o_orderdate)::BIGINT // 86400 AS b0, epoch(o_orderdate)::BIGINT // 86400 + 3 AS b1 FROM orders WHERE o_orderkey % 50 = 7)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quernstone.functions.text import hash_mod
-from quernstone.operators import sampling as S
+from quernstone.operators import sampling as S, statistics
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
 
@@ -97,6 +97,13 @@ def o14(spark, sf):
     return d.select("doc_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("later", "doc_id")).cast("long").alias("place"))
 
 
+@query("o14_deferred_stratum_whole")
+def o14_whole(spark, sf):
+    """The place of every document: German ones after all others (unknown languages last, as in the SQL), each by doc_id."""
+    later = F.coalesce((F.col("lang") == "de").cast("int"), F.lit(2))
+    return statistics.running(docs(spark, sf).select("doc_id", "lang"), "doc_id", "place", group=later).select("doc_id", "place")
+
+
 WEIGHTS = [("chat", 0.5), ("code", 0.3), ("math", 0.2)]
 
 

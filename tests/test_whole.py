@@ -75,3 +75,17 @@ def test_bm25_over_every_document(spark, tmp_path):
     got = {(r.query_id, r.doc_id): r.score for r in run(spark, "j17_bm25_retrieval_whole", str(tmp_path))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert any(len(texts[i]) >= 3000 for _, i in got)
+
+
+def test_places_and_offsets_over_all_documents(spark):
+    rows = sorted((r.doc_id, r.lang, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "n_chars").collect())
+    want = {d: k + 1 for k, (_, d) in enumerate(sorted((lang == "de", d) for d, lang, _ in rows))}
+    assert {r.doc_id: r.place for r in run(spark, "o14_deferred_stratum_whole")} == want
+    total, cuts, owner = 0, set(), []
+    for _, _, n in rows:
+        total += n % 64
+        cuts.add(total)
+    assert sorted(r.x for r in run(spark, "d10_intersect_cuts_whole")) == sorted(x for x in cuts if x % 3 == 0)
+    for d, _, n in rows:
+        owner += [d] * n
+    assert sorted(map(tuple, run(spark, "j13_ordinal_lookup_chain_whole"))) == [(i, owner[i]) for i in range(0, len(owner), 1000)]

@@ -2,7 +2,7 @@
 
 A text's words (runs of other than ASCII white space) are hashed, every run of K words gets a rolling hash of its words' hashes
 (cyclic polynomial: rotations joined by exclusive or), and of each WINDOW consecutive run hashes the smallest is selected,
-the rightmost of equal ones. The window's minimum is doubled: minima over 2, 4, 8, 16 runs, each from two of the one before; the low bits
+the rightmost of equal ones. The window's minimum is doubled: minima over 2, 4, ... runs, each from two of the one before; the low bits
 of a value tell how far from the window's start its run lies, counted so that of equal hashes the later is smaller.
 Guarantee: two texts that share GUARANTEE words in a row share a selected hash. Shorter texts have the one hash of all their words."""
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quernstone.llm.common import partitions, stored
 
 #: Words of a run, and runs of a window (a power of two).
-K, WINDOW = 4, 16
+K, WINDOW = 3, 2
 GUARANTEE = K + WINDOW - 1
 WORDS = r"[\x20\x09-\x0D]+"
 _BITS = 32

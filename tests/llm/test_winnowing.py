@@ -82,3 +82,9 @@ def test_edited_pairs(spark):
     assert W.edited_pairs(odd).count() == 4
     one = W.edited_pairs(odd.limit(1).select(F.lit(3).cast("long").alias("doc_id"), F.lit("abcd").alias("text"))).first()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
+
+
+def test_short_texts_are_like_their_half_copies(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10 + i % 20))) for i in range(60)]
+    got = W.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and all(r.near_edited > 0 and r.near_next == 0 for r in got)

@@ -77,7 +77,7 @@ def dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
             at = [i for i in range(max(1, len(w) - GRAM + 1)) if w[i : i + GRAM] in telling]
             if at:
                 fragments[w[at[0] : at[-1] + GRAM]] += 1
-    common = _train([b"".join(sorted(x)[:80]) for x in sets[0] if x] or [b" "], COMMON)
+    common = _train([b"".join(sorted(x)) for x in sets[0] if x] or [b" "], COMMON)
     own = b"".join(f for f, _ in sorted(fragments.items(), key=lambda x: (x[1], x[0])))[-OWN:]
     plain: Counter[bytes] = Counter()
     for words in sets[0]:

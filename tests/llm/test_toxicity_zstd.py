@@ -42,3 +42,12 @@ def test_held_out_accuracy_and_edges(spark):
     assert T.scored(odd, labels).count() == 4
     assert (T.scored(odd, labels.limit(0)).toPandas().score == 0).all()
     assert T.scored(odd.limit(0), labels).count() == 0
+
+
+def test_common_part_is_trained_on_all_words():
+    from quernstone.llm import toxicity_zstd
+
+    late = "zebra zenith zephyr zigzag zodiac zoology"
+    ordinary = [" ".join(f"a{i:03d}x{k:03d}" for k in range(90)) + " " + late for i in range(200)]
+    common, _ = toxicity_zstd.dictionaries(ordinary, [])
+    assert any(w.encode() in common for w in late.split())

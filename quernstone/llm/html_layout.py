@@ -3,7 +3,7 @@
 Tokens come from one regular expression. The builder keeps a stack of open elements: void elements close at once, a start tag closes what it
 implies closed (a list item the item before, a block the paragraph, a row the cell ...) within its list or table, an end tag closes up to its
 element if that is open, and the end closes all. Script, style and the like hold raw text and are never visible; nor are the head, templates,
-hidden inputs, and what the hidden attribute or an inline style hides. Rendering puts blocks on lines of their own and paragraphs, headings,
+hidden inputs, descriptions inside drawings and formulas, and what the hidden attribute or an inline style hides. Rendering puts blocks on lines of their own and paragraphs, headings,
 lists and tables apart by an empty line, marks list items and indents nested lists, aligns table cells in columns, and keeps preformatted
 text as it is. Elements are handled one after the other with an explicit stack, so nesting of any depth works."""
 
@@ -20,7 +20,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript iframe noembed noframes xmp".split())
 #: Elements whose raw content is text with character references.
 TEXT = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base datalist object audio video canvas svg math".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link base datalist object audio video canvas".split())
+#: Drawings and formulas show their text, but not what these elements inside them describe.
+FOREIGN = ("svg", "math")
+NOTES = frozenset("title desc metadata annotation annotation-xml".split())
 #: Blocks that stand apart by an empty line, and blocks that only take lines of their own.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure article section hr form fieldset details".split())
 BLOCK = APART | frozenset("html body div address aside center dd dt figcaption footer header hgroup legend li main nav optgroup option summary search menu dir caption tr".split())
@@ -106,7 +109,8 @@ def tree(html: str) -> Node:
         if tag == "html":
             continue
         own = attributes(m[3]) if m[3] else {}
-        hidden = tag in HIDDEN or "hidden" in own or bool(own.get("style") and UNSEEN.search(own["style"])) or (tag == "input" and own.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in own)
+        foreign = tag in FOREIGN or any(map(opened.get, FOREIGN))
+        hidden = tag in HIDDEN or (foreign and tag in NOTES) or "hidden" in own or bool(own.get("style") and UNSEEN.search(own["style"])) or (tag == "input" and own.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in own)
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in BLOCK and tag not in ("tr", "caption", "option", "optgroup", "html"):
@@ -120,7 +124,7 @@ def tree(html: str) -> Node:
             node.children.append(own["alt"])
         if tag == "input" and own.get("type", "").lower() in ("submit", "button", "reset") and own.get("value"):
             node.children.append(own["value"])
-        if tag in VOID:
+        if tag in VOID or (foreign and m[0].endswith("/>")):
             continue
         if tag in RAW or tag in TEXT:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)

@@ -43,3 +43,10 @@ def test_all_visible_words_of_pages(spark):
     odd = spark.createDataFrame([(None, None, None), (1, "u", None), (1, "u", "<p>x")], "page_id long, url string, html string").selectExpr("*", "url as text")
     assert sorted(r.text for r in extract(odd).collect()) == ["", "", "x"]
     assert extract(odd.limit(0)).count() == 0
+
+
+def test_drawings_and_formulas_show_their_text():
+    page = "<p>a</p><svg/><svg><title/><metadata/><title>t0</title><desc>d0</desc><metadata><x>m0</x></metadata><path d='x'/><text>label</text></svg>"
+    page += "<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>n0</annotation><annotation-xml><b>n1</b></annotation-xml></semantics></math> end</p><desc>shown</desc>"
+    text = text_of(page)
+    assert all(w in text for w in ("a", "label", "x=1", "end", "shown")) and not any(w in text for w in ("t0", "d0", "m0", "n0", "n1"))

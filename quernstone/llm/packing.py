@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents, certified by dual-feasible-function bounds.
 
 Tokenizing: byte-level BPE by a public tokenizer's ranks. The pattern's look-ahead only matters where two white-space characters meet;
-texts without such a place are split by the pattern without it, which the library runs much faster. The strings of special tokens
-are ordinary text.
+texts without such a place are split by the pattern without it, which the library runs much faster. Strings of the tokenizer file's
+special tokens get their ids and part the text, as its own library has it.
 
 Packing: a document of more than `capacity` ids is cut into full pieces, its first piece taking the remainder. Full pieces are
 sequences of their own. The others are dealt by a hash to partitions of about `partition` pieces; best-fit decreasing packs each,
@@ -14,6 +14,7 @@ exchanges what is packed stays. A partition is a bounded set, so no task grows w
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import zlib
 from array import array
@@ -32,19 +33,26 @@ SCHEMA = "uid long, doc_id long, piece int, start long, length long, ids_crc32 l
 
 
 class ByteBpe:
-    """Ids of texts as packed bytes, the same as the public tokenizer file's own library gives for ordinary text."""
+    """Ids of texts as packed bytes, the same as the public tokenizer file's own library gives without special tokens added at the ends.
 
-    def __init__(self, ranks: str):
+    ranks: the vocabulary's ranks; tokenizer: the tokenizer file (JSON), whose special tokens are taken."""
+
+    def __init__(self, ranks: str, tokenizer: str):
         import public_tokenizers
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(tokenizer, encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         pattern = public_tokenizers.PATTERN
+        self.encode_special = tiktoken.Encoding("special", pat_str=pattern, mergeable_ranks=table, special_tokens=self.special).encode
         self.encode = tiktoken.Encoding("any", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.encode_simple = tiktoken.Encoding("simple", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return packed_ids(self.encode_special(text, allowed_special="all"))
         spaced = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable()
         return packed_ids(self.encode(text) if spaced else self.encode_simple(text))
 
@@ -62,15 +70,15 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def pieces(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """uid (of the row), doc_id, piece, start, length, ids_crc32 of each piece of each row of docs."""
-    if ranks is None:
+def pieces(docs: DataFrame, files: tuple[str, str] | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """uid (of the row), doc_id, piece, start, length, ids_crc32 of each piece of each row of docs. files: paths of the ranks and the tokenizer file."""
+    if files is None:
         import public_tokenizers
 
-        ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = ByteBpe(ranks), packed_ids([END])
+        tokenizer, end = ByteBpe(*files), packed_ids([END])
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for uid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -175,9 +183,9 @@ def packed(made: DataFrame, capacity: int = CAPACITY, partition: int = 2048, rou
     return whole
 
 
-def pack(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY, partition: int = 2048, rounds: int = 2) -> DataFrame:
+def pack(docs: DataFrame, files: tuple[str, str] | None = None, capacity: int = CAPACITY, partition: int = 2048, rounds: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of docs.
 
     Null or empty text: the one id 2. Very long texts: cut. Repeated rows and null doc_id: each row is a document of its own.
     Ties of length: by row and piece. Empty table: empty result. Other columns are ignored."""
-    return packed(pieces(docs, ranks, capacity), capacity, partition, rounds).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed(pieces(docs, files, capacity), capacity, partition, rounds).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -45,17 +45,19 @@ def test_cut_pieces():
 
 def test_ids_equal_the_tokenizer_library():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    own = P.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = P.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["", " ", "\n", "a", " a", "a ", "it's  two", "x\n\ny", "x \ny", "x\n y", "don't 'll 's", "a\tb", "é ü  z", "<|endoftext|> b", "1 22 333!!! ***", "힣 \U0001f600 ok", "a\x00b c\x85d e", "end\n"]
     texts += pd.read_parquet(f"{SF}/documents.parquet").text.tolist()
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "\n ", "\t", "word", "Ünï", "12", "'s", "!?", "\u3000", "\U0001f600", "\x85"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(20000)]
     for x in texts:
         assert np.frombuffer(own(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x[:80])
 
 
 def test_pack_documents(spark):
     rng = random.Random(2)
-    texts = [None, "", "word " * 5000, "same text"] + ["same text"] * 3 + [" ".join(rng.choices(["alpha", "beta", "ga\nma", "!!"], k=rng.randint(1, 900))) for _ in range(300)]
+    texts = [None, "", "word " * 5000, "same text", "hello <|endoftext|> world"] + ["same text"] * 3 + [" ".join(rng.choices(["alpha", "beta", "ga\nma", "!!"], k=rng.randint(1, 900))) for _ in range(300)]
     rows = [(None if i == 3 else i, t, "x", i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece string, length int")
     got = P.pack(df, partition=64).toPandas()

@@ -1,85 +1,110 @@
-"""Line de-duplication by prefix doubling over the corpus's line sequence, on built-in functions only.
+"""Line de-duplication by prefix doubling over the corpus's line sequences, on built-in functions only.
 
-Every document is a sequence of line ids and every line starts a suffix. Documents are ordered by doc_id; a line's position is its
-document's place and its number. Doubling names the runs of 2^k lines that start at each position: runs of level k + 1 are pairs of names of
-level k, grouped, and a group's name is its first position, so equal names are equal runs and a group is the interval of suffixes whose
-common prefix has 2^k lines or more. Groups of one leave at once; what is left shrinks to the repeated runs. (Names order the
-groups by first occurrence rather than by lines: intervals only need the nesting, and no global sort is made.)
+Every document is a sequence of line hashes and every line starts a suffix; documents are ordered by doc_id. Prefix doubling names the runs of
+2^k lines that start at each line by the names of their two halves, level by level. Suffixes that share a prefix of m lines are the interval of
+the suffix array with a longest common prefix of m or more; the prefix is named by the names of the two runs of 2^k lines that cover it
+(2^k <= m < 2^(k + 1)), so the interval is the group of equal names, and its first member is the copy that stays. (Intervals are grouped
+and not sorted: of a suffix array only the membership and the first position are needed.)
 
-A position whose name is an earlier one starts a later copy. The longest such run of each position is taken; runs that share a line are one
-maximal repeated run, and all of a run's lines are deleted if they have `least` words or more between them."""
+A line goes if it lies in a run of at least `least` words that has an earlier copy, that is, in a maximal repeated run with so many words. Such a
+run is the union of its shortest runs with so many words, those that start at each of its lines and those that end at each: so only these
+are looked up, and doubling ends at the longest of them. A shortest run is told by its own lines, so its copies are shortest runs too.
+
+Lines that occur once leave at the start. Keys that hold more than one in HEAVY of the rows are fewer than HEAVY; they are joined by broadcast,
+so that a very common line (an empty one, say) never gathers in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quernstone.llm.common import discard, partitions, stored
+from quernstone.llm.common import discard, stored
 
 #: Words that a repeated run must have to be deleted, so that short lines that recur by chance stay.
 LEAST = 10
-_LINE_BITS, _ROW_BITS = 24, 27
+#: Keys with more than one in so many rows are joined apart.
+HEAVY = 1000
+WORD = r"[^\x20\x09-\x0D]+"
+#: A document: its doc_id (0 for null), whether that is null, and the hash of its text, which tells texts of one doc_id apart. In corpus order.
+DOC = ["nul", "d", "th"]
 
 
-def _repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line, h1, h2 of the lines whose text occurs more than once; th tells different texts of one doc_id apart."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    lines = stored(split.select("doc_id", "th", "line", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), "l").alias("h2")))
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    repeated = stored(lines.join(often, ["h1", "h2"]).select("doc_id", "th", "line", "h1", "h2"))
-    discard(lines)
-    return repeated
+def _document(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    return [F.col(doc_id).isNull().alias("nul"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("d"), F.xxhash64(text).alias("th")]
 
 
-def _places(lines: DataFrame) -> DataFrame:
-    """doc_id, th, place: an ascending number for each document, by doc_id (null last) and th."""
-    order = (F.asc_nulls_last("doc_id"), F.asc("th"))
-    ids = lines.select("doc_id", "th").distinct()
-    numbered = ids.repartitionByRange(partitions(ids.sparkSession), *order).sortWithinPartitions(*order).withColumn("i", F.monotonically_increasing_id())
-    return stored(numbered.select("doc_id", "th", F.expr(f"shiftleft(shiftright(i, 33), {_ROW_BITS}) + i % {1 << 33}L").alias("place")))
-
-
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """pos, name for the rows whose keys occur at more than one position; name is the first of them."""
-    groups = rows.groupBy(*keys).agg(F.min("pos").alias("name"), F.max("pos").alias("last")).filter("name < last")
-    return rows.join(groups, keys).select("pos", "name")
-
-
-def later_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, th, runs: array of (line, n), the lines that start a later copy and the most lines (a power of two) known to be one; by line."""
-    lines = _repeated_lines(docs)
-    places = _places(lines)
-    same = lines["doc_id"].eqNullSafe(places["doc_id"]) & (lines["th"] == places["th"])
-    placed = stored(lines.join(places, same).select(F.expr(f"shiftleft(place, {_LINE_BITS}) + line").alias("pos"), "h1", "h2").distinct())
-    level = stored(_named(placed, ["h1", "h2"]))
-    discard(lines, placed)
-    levels, copies = [level], level.filter("name < pos").select("pos", F.lit(1).alias("n"))
-    for k in range(_LINE_BITS):
-        ahead = level.select((F.col("pos") - (1 << k)).alias("pos"), F.col("name").alias("next"))
-        pairs = stored(level.join(ahead, "pos").select("pos", F.col("name").alias("first"), "next"))
-        level = stored(_named(pairs, ["first", "next"]))
-        levels.append(level)
-        discard(pairs)
-        if level.isEmpty():
-            break
-        copies = copies.unionByName(level.filter("name < pos").select("pos", F.lit(2 << k).alias("n")))
-    longest = copies.groupBy("pos").agg(F.max("n").alias("n"))
-    by_doc = longest.groupBy(F.expr(f"shiftright(pos, {_LINE_BITS})").alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.expr(f"int(pos % {1 << _LINE_BITS}L)").alias("line"), "n"))).alias("runs"))
-    found = stored(by_doc.join(places, "place").select("doc_id", "th", "runs"))
-    discard(places, *levels)
-    return found
+def _grouped(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows with the columns of groups (keys, n and others); n is how many of the `total` rows have the keys. Rows without a group leave."""
+    heavy = F.col("n") * HEAVY > total
+    few = rows.join(F.broadcast(groups.filter(heavy)), keys)  # fewer than HEAVY rows
+    rest = rows.join(F.broadcast(groups.filter(heavy).select(keys)), keys, "left_anti").join(groups.filter(~heavy), keys)
+    return few.unionByName(rest)
 
 
-def _merged(runs: Column) -> Column:
-    """Runs that share a line as one: array of (start, stop), ascending."""
+def _repeated_lines(docs: DataFrame) -> DataFrame:
+    """DOC, line, h1, h2, w (words) of the lines whose text occurs more than once."""
+    split = docs.filter("text is not null").select(*_document(), F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    lines = stored(split.select(*DOC, "line", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), "l").alias("h2"), F.regexp_count("l", F.lit(WORD)).alias("w")))
+    often = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"))
+    repeated = stored(_grouped(lines, often, ["h1", "h2"], lines.count()).drop("n").dropDuplicates([*DOC, "line"]))
+    discard(lines, often)
+    return repeated
 
-    def step(done: Column, run: Column) -> Column:
-        last = F.element_at(done, -1)
-        stop = run["line"] + run["n"]
-        one = F.array(F.struct(run["line"].alias("start"), stop.alias("stop")))
-        grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], stop).alias("stop")))
-        return F.when(F.size(done) == 0, one).when(run["line"] < last["stop"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), grown)).otherwise(F.concat(done, one))
 
-    return F.aggregate(runs, F.array().cast("array<struct<start:int,stop:int>>"), step)
+def _shortest_runs(lines: DataFrame, least: int) -> DataFrame:
+    """lines with island (lines of it follow each other) and, where there are such runs within it, the lines of the shortest run of `least`
+    words that starts there (ahead) and that ends there (back)."""
+    order = Window.partitionBy(*DOC).orderBy("line")
+    rows = lines.withColumn("island", F.col("line") - F.row_number().over(order))
+    inside = Window.partitionBy(*DOC, "island")
+    so_far = inside.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("w").over(so_far)).withColumn("at", F.count("*").over(so_far)).withColumn("before", F.col("upto") - F.col("w"))
+    rows = rows.withColumn("words", F.sum("w").over(inside))
+    # the run ends at the last line that has fewer than `least` words of the run before it; and starts after the last one that can be spared
+    rows = rows.withColumn("stop", F.count("*").over(inside.orderBy("before").rangeBetween(Window.unboundedPreceding, least - 1)))
+    rows = rows.withColumn("start", F.count("*").over(inside.orderBy("upto").rangeBetween(Window.unboundedPreceding, -least)))
+    ahead = F.when(F.col("words") - F.col("before") >= least, F.col("stop") - F.col("at") + 1)
+    back = F.when(F.col("upto") >= least, F.col("at") - F.col("start"))
+    return rows.select(*DOC, "line", "island", "h1", "h2", ahead.cast("int").alias("ahead"), back.cast("int").alias("back"))
+
+
+def _names(lines: DataFrame, longest: int) -> DataFrame:
+    """DOC, line, k, h1, h2: the names of the runs of 2^k lines from each line, as far as lines follow each other."""
+    order = Window.partitionBy(*DOC, "island").orderBy("line")
+    rows, made, k = lines, [F.struct(F.lit(0).alias("k"), "h1", "h2")], 0
+    while 2 << k <= longest:
+        rows = rows.withColumns({f"n{i}": F.lead(f"h{i}", 1 << k).over(order) for i in (1, 2)})
+        both = [F.when(F.col("n1").isNotNull() & F.col("h1").isNotNull(), F.xxhash64(F.lit(i), "h1", "h2", "n1", "n2")) for i in (1, 2)]
+        rows, k = rows.withColumn("made", F.array(*made) if k == 0 else F.col("made")).withColumns({"h1": both[0], "h2": both[1]}), k + 1
+        rows = rows.withColumn("made", F.concat("made", F.array(F.struct(F.lit(k).alias("k"), "h1", "h2"))))
+    each = F.col("made") if k else F.array(*made)
+    return rows.select(*DOC, "line", F.inline(each)).filter("h1 is not null")
+
+
+def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """DOC, runs: array of (start, stop), the lines of docs (doc_id, text) that lie in later copies of runs of `least` words; ascending and apart."""
+    least = max(1, least)
+    repeated = _repeated_lines(docs)
+    lines = stored(_shortest_runs(repeated, least))
+    discard(repeated)
+    longest = lines.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
+    names = stored(_names(lines, longest))
+    runs = lines.select(*DOC, F.inline(F.array(F.struct("line", F.col("ahead").alias("m")), F.struct((F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("m"))))).filter("m > 0").distinct()
+    runs = runs.withColumn("k", F.floor(F.log2("m") + 1e-9).cast("int"))
+    first = names.select(*DOC, "line", "k", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    second = names.select(*DOC, F.col("line").alias("other"), "k", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    runs = runs.join(first, [*DOC, "line", "k"]).withColumn("other", F.col("line") + F.col("m") - F.pow(F.lit(2), F.col("k")).cast("int")).join(second, [*DOC, "other", "k"])
+    prefix = ["m", "a1", "a2", "b1", "b2"]
+    named = stored(runs.select(*DOC, "line", "m", F.xxhash64(F.lit(1), *prefix).alias("g1"), F.xxhash64(F.lit(2), *prefix).alias("g2")))
+    intervals = stored(named.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "line")).alias("first")).filter("n > 1"))
+    later = _grouped(named, intervals, ["g1", "g2"], named.count()).filter(F.struct(*DOC, "line") > F.col("first"))
+    order = Window.partitionBy(*DOC).orderBy("line", "m")
+    spans = later.select(*DOC, "line", "m", (F.col("line") + F.col("m")).alias("stop"))
+    reach = spans.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    joined = reach.withColumn("part", F.sum(F.when(F.col("line") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    apart = joined.groupBy(*DOC, "part").agg(F.min("line").alias("start"), F.max("stop").alias("stop"))
+    found = stored(apart.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs")))
+    discard(lines, names, named, intervals)
+    return found
 
 
 def _without(lines: Column, runs: Column) -> Column:
@@ -90,20 +115,16 @@ def _without(lines: Column, runs: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with later copies of repeated line runs deleted from text, and n_lines and n_deleted (longs).
+    """docs with later copies of repeated line runs of `least` words (1 at least) deleted from text, and n_lines and n_deleted (longs).
 
-    Null text: stays null, no lines. Empty text: one empty line, never deleted by itself. Null doc_id: a document after all others. Rows repeated with
-    doc_id and text: one document, each row gets its result. Equal runs within a document: the first stays. Empty table: empty result. All columns
-    stay but a column of the same name as a new one, which is replaced."""
+    Null text: stays null, no lines. Empty text: one empty line, never deleted by itself. Null doc_id: a document after all others. Texts of one doc_id:
+    documents of their own, by hash. Rows repeated with doc_id and text: one document, each row gets its result. Equal runs within a document: the first stays.
+    Very long texts: linear work. Empty table: empty result. All columns stay, whatever their names, but n_lines and n_deleted, which are replaced."""
     wide = docs.drop("n_lines", "n_deleted")
-    found = later_copies(wide.select("doc_id", "text").filter("text is not null")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "runs")
-    rows = wide.withColumn("__key", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
-    rows = rows.withColumn("__lines", F.split("text", "\n")).withColumn("__runs", F.when(F.col("runs").isNotNull(), _merged(F.col("runs"))))
-
-    def words(run: Column) -> Column:
-        return F.regexp_count(F.array_join(F.slice("__lines", run["start"] + 1, run["stop"] - run["start"]), "\n"), F.lit(r"[^\x20\x09-\x0D]+"))
-
-    rows = rows.withColumn("__runs", F.filter("__runs", lambda r: words(r) >= least))
-    gone = F.coalesce(F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]), F.lit(0).cast("long"))
-    text = F.when(F.size("__runs") > 0, F.array_join(_without(F.col("__lines"), F.col("__runs")), "\n")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_lines", F.greatest(F.size("__lines"), F.lit(0)).cast("long")).withColumn("n_deleted", gone).select(*wide.columns, "n_lines", "n_deleted")
+    found = later_copies(wide.select("doc_id", "text"), least)
+    rows = wide.select(F.struct(*[F.col(f"`{c}`") for c in wide.columns]).alias("row"), *_document()).join(found, DOC, "left")
+    rows = rows.withColumn("lines", F.split(F.col("row")["text"], "\n"))
+    gone = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]), F.lit(0).cast("long"))
+    text = F.when(F.col("runs").isNotNull() & F.col("lines").isNotNull(), F.array_join(_without(F.col("lines"), F.col("runs")), "\n")).otherwise(F.col("row")["text"])
+    kept = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in wide.columns]
+    return rows.select(*kept, F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), gone.alias("n_deleted"))

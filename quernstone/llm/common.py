@@ -16,13 +16,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the cluster names in spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: what the cluster names in spark.checkpoint.dir, else, on one machine (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jsc = spark.sparkContext._jsc.sc()
         found = jsc.getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -65,6 +67,29 @@ def clear() -> None:
             return
 
 
+#: Keys with more than one in so many rows are joined apart.
+HEAVY = 1000
+
+
+def grouped(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, heavy: int = HEAVY) -> DataFrame:
+    """rows with the columns of groups (keys, once each; n, at least the number of rows with them, `total` in sum; others). Rows without a group leave.
+
+    Keys that hold more than one in `heavy` of the rows are fewer than `heavy`: their groups are broadcast, so no hot key gathers in one task."""
+    hot = F.col("n") * heavy > total
+    few = rows.join(F.broadcast(groups.filter(hot)), keys)
+    rest = rows.join(F.broadcast(groups.filter(hot).select(*keys)), keys, "left_anti").join(groups.filter(~hot), keys)
+    return few.unionByName(rest)
+
+
+def row_key(docs: DataFrame) -> list:
+    """nul, d, t, rest: columns that tell rows apart by content and order them by doc_id, null last: of a row that is repeated in all columns, all are equal.
+
+    rest is a hash of the columns other than doc_id and text."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    return [F.col("doc_id").isNull().alias("nul"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("text", F.length("text")).alias("t"), rest.alias("rest")]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

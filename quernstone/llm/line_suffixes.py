@@ -17,12 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quernstone.llm.common import discard, stored
+from quernstone.llm.common import HEAVY, discard, grouped, stored
 
 #: Words that a repeated run must have to be deleted, so that short lines that recur by chance stay.
 LEAST = 10
-#: Keys with more than one in so many rows are joined apart.
-HEAVY = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document: its doc_id (0 for null), whether that is null, and the hash of its text, which tells texts of one doc_id apart. In corpus order.
 DOC = ["nul", "d", "th"]
@@ -32,20 +30,12 @@ def _document(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).isNull().alias("nul"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("d"), F.xxhash64(text).alias("th")]
 
 
-def _grouped(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows with the columns of groups (keys, n and others); n is how many of the `total` rows have the keys. Rows without a group leave."""
-    heavy = F.col("n") * HEAVY > total
-    few = rows.join(F.broadcast(groups.filter(heavy)), keys)  # fewer than HEAVY rows
-    rest = rows.join(F.broadcast(groups.filter(heavy).select(keys)), keys, "left_anti").join(groups.filter(~heavy), keys)
-    return few.unionByName(rest)
-
-
 def _repeated_lines(docs: DataFrame) -> DataFrame:
     """DOC, line, h1, h2, w (words) of the lines whose text occurs more than once."""
     split = docs.filter("text is not null").select(*_document(), F.posexplode(F.split("text", "\n")).alias("line", "l"))
     lines = stored(split.select(*DOC, "line", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), "l").alias("h2"), F.regexp_count("l", F.lit(WORD)).alias("w")))
     often = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"))
-    repeated = stored(_grouped(lines, often, ["h1", "h2"], lines.count()).drop("n").dropDuplicates([*DOC, "line"]))
+    repeated = stored(grouped(lines, often, ["h1", "h2"], lines.count(), HEAVY).drop("n").dropDuplicates([*DOC, "line"]))
     discard(lines, often)
     return repeated
 
@@ -96,7 +86,7 @@ def later_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     prefix = ["m", "a1", "a2", "b1", "b2"]
     named = stored(runs.select(*DOC, "line", "m", F.xxhash64(F.lit(1), *prefix).alias("g1"), F.xxhash64(F.lit(2), *prefix).alias("g2")))
     intervals = stored(named.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "line")).alias("first")).filter("n > 1"))
-    later = _grouped(named, intervals, ["g1", "g2"], named.count()).filter(F.struct(*DOC, "line") > F.col("first"))
+    later = grouped(named, intervals, ["g1", "g2"], named.count(), HEAVY).filter(F.struct(*DOC, "line") > F.col("first"))
     order = Window.partitionBy(*DOC).orderBy("line", "m")
     spans = later.select(*DOC, "line", "m", (F.col("line") + F.col("m")).alias("stop"))
     reach = spans.withColumn("reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))

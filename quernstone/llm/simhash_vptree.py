@@ -5,12 +5,15 @@ Fingerprints: XXH64 of every word shingle, one bit per position by majority.
 Search: documents with equal fingerprints are one point. If two points differ in at most `most` bits, then in one of three
 bit fields they differ in at most most // 3 (pigeonhole), so each field gets a vantage-point tree of its own with that
 radius; in a field's metric, distances spread widely against the radius and the triangle bounds prune far better than
-over all 64 bits. A tree's upper part is built on the driver from a bounded sample of fingerprints and only says where
+over all 64 bits. A tree's upper part is built from a bounded sample of fingerprints and only says where
 points go: inside (d <= mu) or outside, and points of the shell mu - radius < d <= mu go to both sides. By the triangle
-inequality any two points within the radius meet in at least one shard, whatever the sample was. Shards go on splitting
-the same way inside their task; small sets are compared exactly over all 64 bits, and sets that no vantage point splits
-(dense balls) are searched by flooding, where linked points leave the search, so no list of all pairs is ever made.
-Shards over `cap` points are dealt in blocks, and every pair of blocks is a task of its own."""
+inequality any two points within the radius meet in at least one shard, whatever the sample was. The first part is built on the
+driver; each shard that is still over `cap` points gets a second part from a sample of its own points, built in a task, so that
+the number of shards grows with the corpus (both parts have at most about sample / 16 leaves each). Shards go on splitting
+the same way inside their task; small sets are compared exactly over all 64 bits, and sets that no vantage point of one field splits
+(dense balls) go on to trees of the other fields (two points that differ in `most` bits over two fields differ in half of them at most in
+one), and what no field splits is searched by flooding, where linked points leave the search, so no list of all pairs is ever made.
+Shards that even the second part leaves over `cap` points are dealt in blocks, and every pair of blocks is a task of its own."""
 
 from __future__ import annotations
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quernstone.llm.common import bytes_of, stored
+from quernstone.llm.common import bytes_of, grouped, stored
 from quernstone.llm.components import components
 
 #: Bit fields of the three trees: offset and width.
@@ -33,6 +36,8 @@ SHINGLE = 4
 BLOCK = 1 << 16
 #: Points compared at once without further splitting.
 LEAF = 192
+#: Unsplit points from which the other fields' trees are tried.
+DENSE = 2048
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -138,11 +143,12 @@ def _flood(x: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def search(x: np.ndarray, field: tuple[int, int], radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all of x (distinct unsigned fingerprints) within `most` bits that are within radius in the field."""
-    rng, found, todo = np.random.default_rng(1), [], [x]
+def search(x: np.ndarray, field: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all of x (distinct unsigned fingerprints) within `most` bits that are within most // 3 in the field."""
+    others = tuple(k for k in range(len(FIELDS)) if k != field)
+    rng, found, todo = np.random.default_rng(1), [], [(x, field, most // len(FIELDS), others)]
     while todo:
-        p = todo.pop()
+        p, k, radius, others = todo.pop()
         if len(p) < 2:
             continue
         if len(p) <= LEAF:
@@ -151,18 +157,23 @@ def search(x: np.ndarray, field: tuple[int, int], radius: int, most: int) -> tup
                 i, j = near.nonzero()
                 found += [(p[i], p[j])] if len(i) < len(p) else _flood(p, most)
             continue
-        values = _field(p, field)
+        values = _field(p, FIELDS[k])
         split = _split(values, radius, rng)
-        if split is None:
+        if split is not None:
+            d = np.bitwise_count(values ^ split[0]).astype(int)
+            todo += [(p[d <= split[1]], k, radius, others), (p[d > split[1] - radius], k, radius, others)]
+        elif others and len(p) > DENSE:
+            todo += [(p, g, most // len(others), tuple(o for o in others if o != g)) for g in others]
+        else:
             found += _flood(p, most)
-            continue
-        d = np.bitwise_count(values ^ split[0]).astype(int)
-        todo += [p[d <= split[1]], p[d > split[1] - radius]]
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return tuple(np.concatenate(side) for side in zip(*found))  # type: ignore[return-value]
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
 def links(points: DataFrame, most: int = 4, shard: int = 4096, cap: int = 65536, sample: int = 8192) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints points.fp (long) that connect exactly what pairs within `most` bits connect."""
     spark = points.sparkSession
@@ -171,14 +182,17 @@ def links(points: DataFrame, most: int = 4, shard: int = 4096, cap: int = 65536,
         return spark.createDataFrame([], "a long, b long")
     radius = most // len(FIELDS)
     drawn = np.array([r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").collect()], np.int64).view(np.uint64)
-    rng = np.random.default_rng(0)
-    trees = [build_tree(_field(drawn, f), total, shard, radius, rng) for f in FIELDS]
+    trees = [build_tree(_field(drawn, f), total, shard, radius, np.random.default_rng(0)) for f in FIELDS]
+    deeper: dict[int, list[tuple]] = {}
 
     def routed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         x = batch.column(0).to_numpy().view(np.uint64)
         for k, f in enumerate(FIELDS):
-            for leaf, at in route(_field(x, f), trees[k], radius):
-                yield leaf * len(FIELDS) + k, x[at]
+            values = _field(x, f)
+            for leaf, at in route(values, trees[k], radius):
+                first = leaf * len(FIELDS) + k
+                for second, of in route(values[at], deeper[first], radius) if first in deeper else ((0, slice(None)),):
+                    yield (second << 32) + first, x[at][of]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[int, int] = {}
@@ -187,20 +201,44 @@ def links(points: DataFrame, most: int = 4, shard: int = 4096, cap: int = 65536,
                 n[s] = n.get(s, 0) + len(x)
         yield pa.RecordBatch.from_pydict({"shard": pa.array(list(n), pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
 
-    sizes = points.select("fp").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
-    blocks = {r["shard"]: -(-r["n"] // cap) for r in sizes.filter(F.col("n") > cap).collect()}  # a row for each large shard
+    def large() -> dict[int, int]:
+        """Points of each shard over the cap; as many rows as the trees have leaves at most."""
+        sizes = points.select("fp").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+        return {r["shard"]: r["n"] for r in sizes.filter(F.col("n") > cap).collect()}
+
+    over = large()
+    if over:
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s, x in routed(b):
+                    if s in over:
+                        x = x[(x * _MIX >> np.uint64(32)).astype(np.float64) < sample / over[s] * 2.0**32]
+                        yield pa.RecordBatch.from_pydict({"shard": np.full(len(x), s), "fp": x.view(np.int64)})
+
+        def grow(drawn: pd.DataFrame) -> pd.DataFrame:
+            s = int(drawn["shard"].iloc[0])
+            values = _field(drawn["fp"].to_numpy().view(np.uint64), FIELDS[s % len(FIELDS)])
+            nodes = build_tree(values, over[s], cap // 2, radius, np.random.default_rng(0))
+            return pd.DataFrame({"shard": s, "v": [int(v[0]) for v in nodes], "mu": [v[1] for v in nodes], "inside": [v[2] for v in nodes], "outside": [v[3] for v in nodes], "at": range(len(nodes))})
+
+        grown = points.select("fp").mapInArrow(some, "shard long, fp long").groupBy("shard").applyInPandas(grow, "shard long, v long, mu int, inside int, outside int, at int")
+        for r in sorted(grown.collect(), key=lambda r: (r["shard"], r["at"])):  # nodes of at most sample / 16 leaves for each of so many shards
+            deeper.setdefault(r["shard"], []).append((np.uint64(r["v"]), r["mu"], r["inside"], r["outside"]))
+        over = large() if deeper else over
+    blocks = {s: -(-n // cap) for s, n in over.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, x in routed(b):
                 k = blocks.get(s, 1)
-                own = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % k
+                own = (x * _MIX >> np.uint64(40)).astype(np.int64) % k
                 for other in range(k):
                     lo, hi = np.minimum(own, other), np.maximum(own, other)
                     yield pa.RecordBatch.from_pydict({"shard": np.full(len(x), s), "part": lo * k + hi, "fp": x.view(np.int64)})
 
     def compare(shard_points: pd.DataFrame) -> pd.DataFrame:
-        a, b = search(shard_points["fp"].to_numpy().view(np.uint64), FIELDS[int(shard_points["shard"].iloc[0]) % len(FIELDS)], radius, most)
+        a, b = search(shard_points["fp"].to_numpy().view(np.uint64), int(shard_points["shard"].iloc[0]) % (1 << 32) % len(FIELDS), most)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return points.select("fp").mapInArrow(deal, "shard long, part long, fp long").groupBy("shard", "part").applyInPandas(compare, "a long, b long")
@@ -216,17 +254,7 @@ def near_duplicates(docs: DataFrame, most: int = 4, shingle: int = SHINGLE) -> D
     fp = stored(fingerprints(docs, shingle))
     points = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(points, most)).withColumnRenamed("node", "fp")
-    rooted = points.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    member = rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "group_size")
-    return fp.join(member, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")
-
-
-def keep_one(docs: DataFrame, most: int = 4) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest doc_id; columns unchanged.
-
-    doc_id is the key: of rows that repeat a doc_id one stays. Rows without doc_id all stay."""
-    found = near_duplicates(docs, most)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
+    rooted = stored(points.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("n"))
+    member = grouped(rooted.select("fp", "root", F.col("n").alias("rows")), named, ["root"], rooted.count()).select("fp", "component_id", "group_size", F.col("rows").alias("n"))
+    return grouped(fp, stored(member), ["fp"], fp.count()).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")

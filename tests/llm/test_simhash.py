@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == slow_components([i * 3 for i in range(len(texts))], fps)
 
 
-def test_search_finds_all_links_in_dense_and_sparse_sets(spark):
+def test_search_finds_all_links_in_dense_and_sparse_sets(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, 30, dtype=np.uint64)
     flips = (np.uint64(1) << rng.integers(0, 64, (3000, 5), dtype=np.uint64))
@@ -71,7 +71,8 @@ def test_search_finds_all_links_in_dense_and_sparse_sets(spark):
     want = {}
     for v, g in zip(x.view(np.int64).tolist(), label.tolist()):
         want.setdefault(g, set()).add(v)
-    for shard, cap in ((200, 65536), (400, 300)):
+    for shard, cap, dense in ((200, 65536, 2048), (400, 300, 300), (6000, 65536, 200)):
+        monkeypatch.setattr(S, "DENSE", dense)
         edges = S.links(df, 4, shard=shard, cap=cap, sample=1000)
         found = {}
         for r in components(edges).collect():
@@ -83,6 +84,7 @@ def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(0, 20)] + [(100, i) for i in range(101, 200)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 200)} | {300: 300, 301: 300}
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges + [(None, 3)], "a long, b long"), heavy=20).collect()} == got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -92,5 +94,3 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, "zz y x w v u"), (2, "zz y x w v u")], "doc_id long, text string").withColumn("source", F.lit("s"))
     got = S.near_duplicates(df)
     assert sorted((r.doc_id or -1, r.component_id) for r in got.collect()) == [(-1, 1), (1, 1), (2, 2), (2, 2)]
-    kept = S.keep_one(df)
-    assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2]

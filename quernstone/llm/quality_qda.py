@@ -3,7 +3,7 @@
 Each text gives a vector of statistics (lengths, shares of character classes, repetition of words and lines), transformed by logarithms and square
 roots towards normal shape. For each class the count, sums and cross products of the vectors are added up where the rows are; from these few
 numbers the driver makes means and covariances, shrinks each covariance towards the pooled one and that towards its diagonal, and factors
-it once (Cholesky). A score is the logistic of the difference of the two log densities (Mahalanobis distance by a triangular solve) plus the
+it once (Cholesky). A score is the logistic of the difference of the two log densities (Mahalanobis distance by the inverse of the factor, made once) plus the
 log prior odds, tempered so that far-out texts do not all score 0 or 1. All labelled rows outside the held-out fold are used."""
 
 from __future__ import annotations
@@ -80,11 +80,10 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
     parts = labelled.select("y", "x").mapInArrow(run, "y int, n double, s array<double>")
     sums = parts.select("y", "n", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     out = {c: (0.0, np.zeros(d), np.zeros((d, d))) for c in (0, 1)}
-    for c in (0, 1):
-        rows = sorted((r["i"], r["v"], r["n"]) for r in sums.filter(F.col("y") == c).collect())  # d + d * d rows
-        if rows:
-            v = np.array([x[1] for x in rows])
-            out[c] = (rows[0][2], v[:d], v[d:].reshape(d, d))
+    found = sorted((r["y"], r["i"], r["v"], r["n"]) for r in sums.collect())  # d + d * d rows for each label
+    for c in {x[0] for x in found}:
+        v = np.array([x[2] for x in found if x[0] == c])
+        out[c] = (next(x[3] for x in found if x[0] == c), v[:d], v[d:].reshape(d, d))
     return out
 
 
@@ -116,14 +115,19 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
+def learn(x: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model of all labelled rows of x (as from features()) outside the held-out fold."""
+    y = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
+    return Discriminant(moments(x.filter("not held_out").join(y, "doc_id")))
+
+
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; labels has doc_id and quality.
 
     Null or empty text: the statistics of an empty text. Null labels or ids: not learned from. Repeated rows: a row each, and learned from as
-    often. No labels: score 0.5. Empty table: empty result. Other columns are ignored."""
+    often. No labels: score 0.5. Very long texts: linear work. Empty table: empty result. Other columns are ignored."""
     x = stored(features(docs))
-    y = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
-    model = Discriminant(moments(x.filter("not held_out").join(y, "doc_id")))
+    model = learn(x, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,6 +138,15 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents whose score is below the threshold; columns unchanged. Rows without doc_id stay."""
-    gone = scored(docs, labels, threshold).filter("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose score is below the threshold; columns unchanged, whatever their names.
+
+    Each row is judged by its own text where it is read (no join of texts, no shuffle of them), so null and repeated ids need no rule but that of scored()
+    for learning."""
+    model = learn(features(docs), labels)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
+        return pa.array(model.score(x) >= threshold)
+
+    return docs.filter(good(bytes_of()))

@@ -3,7 +3,7 @@ import pandas as pd
 from conftest import SF
 from test_decontaminate import slow_edits
 from test_line_suffixes import slow as slow_lines
-from test_simhash import slow_components, slow_simhash
+from test_simhash_similar import slow_kept
 
 import corpus_pipeline as P
 from quernstone.llm import decontaminate, packing, quality_qda
@@ -29,9 +29,7 @@ def test_each_stage_against_brute_force(spark):
 
     out = P.near_dedup(spark, out, SF)
     assert out.columns == docs.columns
-    ids = sorted(kept)
-    least = slow_components(ids, [slow_simhash(kept[d]) for d in ids])
-    kept = {d: kept[d] for d in ids if least[d] == d}
+    kept = {d: kept[d] for d in slow_kept(list(kept.items()))}
     assert {r.doc_id: r.text for r in out.collect()} == kept
 
     out = P.decontamination(spark, out, SF)
@@ -54,3 +52,21 @@ def test_each_stage_against_brute_force(spark):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     pd.testing.assert_frame_equal(whole[key].sort_values(key, ignore_index=True), got[key].sort_values(key, ignore_index=True))
     assert np.isfinite(whole.sequence_id).all()
+
+
+def test_stages_take_null_and_repeated_ids_and_clashing_columns(spark):
+    good = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars > 2000").first().text
+    rows = [(None, good, 1), (None, good + " more", 2), (5, good, 3), (5, good[::-1], 4), (5, None, 5), (6, "", 6), (None, None, 7), (7, good, 8), (7, good, 8)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), n) for d, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    df = df.selectExpr("*", "1 nul", "2 d", "3 t", "4 key", "5 runs", "6 score", "7 item_id", "'x' rest")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        got = sorted(r.row for r in out.collect())
+        assert set(got) <= {n for *_, n in rows}
+        if name == "near_dedup":
+            assert got == [3, 4, 5]  # the empty texts are one group
+        if name == "decontamination":
+            assert got == sorted(n for *_, n in rows)
+        assert stage(spark, df.limit(0), SF).count() == 0
+    assert P.pack(spark, df, SF).select("doc_id").count() >= len(rows)

@@ -45,6 +45,10 @@ def test_held_out_accuracy_and_edges(spark):
     none = Q.scored(odd, labels.limit(0)).toPandas()
     assert (none.score == 0.5).all()
     assert Q.scored(odd.limit(0), labels).count() == 0
+    best, worst = (docs.filter(docs.doc_id == int(got.doc_id[k])).first().text for k in (got.score.idxmax(), got.score.idxmin()))
+    rows = spark.createDataFrame([(None, best, 1), (3, worst, 2), (3, best, 3), (None, worst, 4)], "doc_id long, text string, score int")
+    all_ = docs.selectExpr("doc_id", "text", "0 score").union(rows)
+    assert sorted(r.score for r in Q.keep_good(all_, labels).filter("score > 0").collect()) == [1, 3]
     assert Q.keep_good(odd.withColumn("lang", odd.text), labels).columns == ["doc_id", "text", "lang"]
 
 

@@ -4,12 +4,16 @@ Tokens come from one regular expression. The builder keeps a stack of open eleme
 implies closed (a list item the item before, a block the paragraph, a row the cell ...) within its list or table, an end tag closes up to its
 element if that is open, and the end closes all. Script, style and the like hold raw text and are never visible; nor are the head, templates,
 hidden inputs, descriptions inside drawings and formulas, and what the hidden attribute or an inline style hides. Rendering puts blocks on lines of their own and paragraphs, headings,
-lists and tables apart by an empty line, marks list items and indents nested lists, aligns table cells in columns, and keeps preformatted
-text as it is. Elements are handled one after the other with an explicit stack, so nesting of any depth works."""
+lists and tables apart by an empty line, marks list items and indents nested lists, aligns table cells in columns (cells may span columns and
+rows), and keeps preformatted text as it is. Elements are handled one after the other with an explicit stack, so nesting of any depth works.
+
+Bounds of the layout, which cost no text: an indent of INDENT characters grows no further, tables in more than TABLES tables are plain blocks, and of
+cells that span rows SPANS at most take their place in later rows at a time. With them the work is linear in the page."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -42,13 +46,21 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])", re.A)
+INDENT, TABLES, SPANS = 80, 16, 256
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start")
+    __slots__ = ("tag", "children", "hidden", "start", "span")
+
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, span: tuple[int, int] = (1, 1)):
+        self.tag, self.children, self.hidden, self.start, self.span = tag, [], hidden, start, span
+
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.children, self.hidden, self.start = tag, [], hidden, start
+def number(value: str | None, otherwise: int, least: int, most: int) -> int:
+    """The whole number at the start of an attribute's value, within bounds."""
+    m = NUMBER.match(value or "")
+    return min(most, max(least, int(m[1]))) if m else otherwise
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -117,8 +129,8 @@ def tree(html: str) -> Node:
             close(*_PARAGRAPH)
         if tag in BLOCK and stack[-1].tag == "head":
             cut(len(stack) - 1)
-        start = int(own["start"]) if own.get("start", "").lstrip("-").isdigit() else 1
-        node = Node(tag, hidden, start)
+        span = (number(own.get("colspan"), 1, 1, 1000), number(own.get("rowspan"), 1, 0, 65534)) if own and tag in ("td", "th") else (1, 1)
+        node = Node(tag, hidden, number(own.get("start"), 1, -(10**9), 10**9), span)
         stack[-1].children.append(node)
         if tag == "img" and own.get("alt"):
             node.children.append(own["alt"])
@@ -144,12 +156,37 @@ def tree(html: str) -> Node:
 
 
 class Lines:
-    """Text under construction: lines, with at most one empty line between blocks."""
+    """Text under construction: lines, with at most one empty line between blocks, and the margins that the next line gets."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.apart = self.space = False
+        #: For each margin: what stands before its first line, before its others (with the margins around it), and before empty lines; first line's number;
+        #: whether it stands apart.
+        self.margins: list[tuple[str, str, str, int, bool]] = []
+        self.fresh = 0  # innermost margins without a line yet
+        self.low = 0  # fewest margins since the last line
+
+    def push(self, mark: str, rest: str, quote: bool) -> None:
+        _, around, empty, *_ = self.margins[-1] if self.margins else ("", "", "")
+        if len(around) >= INDENT:
+            mark = rest = ""
+        inside = around + rest
+        self.margins.append((mark, inside, inside.rstrip() if quote else empty, len(self.lines), self.apart))
+        self.fresh += 1
+
+    def pop(self) -> None:
+        *_, first, apart = self.margins.pop()
+        self.apart = apart if self.fresh else False
+        while len(self.lines) > first and not self.lines[-1]:
+            self.lines.pop()
+        self.fresh = max(0, self.fresh - 1)
+        self.low = min(self.low, len(self.margins))
+
+    def started(self) -> bool:
+        """Whether the innermost margin (or the whole) has a line or a part of one."""
+        return bool(self.now) or (not self.fresh and bool(self.lines))
 
     def add(self, s: str, pre: bool) -> None:
         if pre:
@@ -173,16 +210,22 @@ class Lines:
 
     def _put(self, s: str) -> None:
         if self.apart and self.lines and self.lines[-1]:
-            self.lines.append("")
+            self.lines.append(self.margins[self.low - 1][2] if self.low else "")
         self.apart = False
         if self.space and self.now:
             self.now.append(" ")
+        if not self.now and self.margins:
+            steady = len(self.margins) - self.fresh
+            self.now.append((self.margins[steady - 1][1] if steady else "") + "".join(m[0] for m in self.margins[steady:]))
+            self.fresh, self.low = 0, len(self.margins)
         self.space = False
         self.now.append(s)
 
     def end(self, even_empty: bool = False) -> None:
-        if self.now or even_empty:
+        if self.now:
             self.lines.append("".join(self.now))
+        elif even_empty:
+            self.lines.append(self.margins[-1][2] if self.margins else "")
         self.now, self.space = [], False
 
     def block(self, apart: bool) -> None:
@@ -204,56 +247,87 @@ class Lines:
         return self.lines
 
 
-def _aligned(rows: list[list[str]]) -> list[str]:
-    wide = [max((len(r[k]) for r in rows if len(r) > k), default=0) for k in range(max(map(len, rows), default=0))]
-    return ["  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in rows]
+def _placed(rows: list[list[Node]]) -> list[list[tuple[int, int]]]:
+    """First column and the one after the last of each cell; cells of earlier rows that span rows keep their columns."""
+    held: list[tuple[int, int, int]] = []  # first column, the one after the last, the row after the last; by column
+    out = []
+    for r, cells in enumerate(rows):
+        held = [h for h in held if h[2] > r]
+        at, k, own, new = 0, 0, [], []
+        for c in cells:
+            while k < len(held) and held[k][0] <= at:
+                at = max(at, held[k][1])
+                k += 1
+            wide, high = c.span
+            stop = min(at + wide, held[k][0]) if k < len(held) else at + wide
+            own.append((at, stop))
+            below = len(rows) if high == 0 else min(len(rows), r + high)
+            if below > r + 1 and len(held) + len(new) < SPANS:
+                new.append((at, stop, below))
+            at = stop
+        held = sorted(held + new) if new else held
+        out.append(own)
+    return out
 
 
-def _cells(table: Node) -> tuple[list[list[Node]], list[Node]]:
-    """Rows of cells, and the other elements of a table (captions)."""
-    rows, other, todo = [], [], [(table, None)]
-    while todo:
-        node, row = todo.pop()
-        below = []
-        for c in node.children:
-            if isinstance(c, str):
-                if c.strip():
-                    other.append(_wrap(c))
-            elif c.hidden or c.tag in ("colgroup", "col"):
-                continue
-            elif c.tag in ("td", "th"):
-                if row is None:
-                    row = []
-                    rows.append(row)
-                row.append(c)
-            elif c.tag == "tr":
-                rows.append([])
-                below.append((c, rows[-1]))
-            elif c.tag in ("thead", "tbody", "tfoot", "form"):
-                below.append((c, None))
-            else:
-                other.append(c)
-        if any(x is None for _, x in below):  # sections in order, each before what follows
-            for c, r in below:
-                if r is None:
-                    more, rest = _cells(c)
-                    rows += more
-                    other += rest
-                else:
-                    _fill(c, r, other)
-        else:
-            for c, r in below:
-                _fill(c, r, other)
-    return [r for r in rows if r], other
+def _aligned(rows: list[list[str]], places: list[list[tuple[int, int]]]) -> list[str]:
+    """Rows as lines, each column as wide as it needs; columns in which no cell begins take no room."""
+    column = {s: k for k, s in enumerate(sorted({s for r in places for s, _ in r}))}
+    starts = sorted(column)
+    ends = [[bisect_left(starts, e) for _, e in r] for r in places]
+    wide = [0] * len(starts)
+    for cells, r, stops in zip(rows, places, ends):
+        for text, (s, _), e in zip(cells, r, stops):
+            if e - column[s] == 1:
+                wide[column[s]] = max(wide[column[s]], len(text))
+    for cells, r, stops in zip(rows, places, ends):
+        for text, (s, _), e in list(zip(cells, r, stops))[:-1]:  # what ends a row pushes nothing
+            if e - column[s] > 1:
+                wide[e - 1] += max(0, len(text) - sum(wide[column[s] : e]) - 2 * (e - column[s] - 1))
+    offset = [0]
+    for w in wide:
+        offset.append(offset[-1] + w + 2)
+    out = []
+    for cells, r in zip(rows, places):
+        line, size = [], 0
+        for text, (s, _) in zip(cells, r):
+            gap = max(offset[column[s]] - size, 2 if size else 0) if text else 0
+            line.append(" " * gap + text)
+            size += gap + len(text)
+        out.append("".join(line).rstrip())
+    return out
 
 
-def _fill(tr: Node, row: list[Node], other: list[Node]) -> None:
-    for c in tr.children:
-        if isinstance(c, str):
+def _cells(table: Node) -> tuple[list[list[Node]], list[Node]]:
+    """Rows of cells, and the other elements of a table (captions), both in order."""
+    rows: list[list[Node]] = []
+    other: list[Node] = []
+    todo: list[tuple[Iterator, list[Node] | None]] = [(iter(table.children), None)]
+    while todo:
+        children, row = todo[-1]
+        c = next(children, None)
+        if c is None:
+            todo.pop()
+        elif isinstance(c, str):
             if c.strip():
                 other.append(_wrap(c))
-        elif not c.hidden:
-            (row if c.tag in ("td", "th") else other).append(c)
+        elif c.hidden or c.tag in ("colgroup", "col"):
+            continue
+        elif c.tag in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+                todo[-1] = (children, row)
+            row.append(c)
+        elif c.tag == "tr":
+            rows.append([])
+            todo[-1] = (children, None)
+            todo.append((iter(c.children), rows[-1]))
+        elif c.tag in ("thead", "tbody", "tfoot", "form"):
+            todo.append((iter(c.children), row if c.tag == "form" else None))
+        else:
+            other.append(c)
+    return [r for r in rows if r], other
 
 
 def _wrap(s: str) -> Node:
@@ -263,10 +337,11 @@ def _wrap(s: str) -> Node:
 
 
 def render(root: Node) -> list[str]:
-    """Lines of the visible text. A frame is an element's lines, its children still to do, and what to do with the lines at its end."""
-    frames: list[list] = [[root, iter(root.children), Lines(), False, None]]
+    """Lines of the visible text. A frame is an element, its children still to do, the lines it writes to, whether it is preformatted, what to do at its
+    end, and the tables around it."""
+    frames: list[tuple] = [(root, iter(root.children), Lines(), False, None, 0)]
     while True:
-        node, children, out, pre, finish = frames[-1]
+        node, children, out, pre, finish, tables = frames[-1]
         child = next(children, None)
         if child is None:
             frames.pop()
@@ -282,53 +357,54 @@ def render(root: Node) -> list[str]:
             continue
         tag = child.tag
         if tag == "br":
-            out.end(bool(out.lines) or bool(out.now))
-        elif tag == "table":
-            _table(child, out, frames)
+            out.end(out.started())
+        elif tag == "table" and tables < TABLES:
+            _table(child, out, frames, tables + 1)
         elif tag in ("li", "dd", "blockquote"):
-            _indented(child, node, out, pre, frames)
+            _indented(child, node, out, pre, frames, tables)
         elif tag in BLOCK:
             apart = tag in APART and not (tag in _LISTS and node.tag in ("li", "dd"))
             out.block(apart)
-            frames.append([child, iter(child.children), out, pre or tag == "pre", lambda out=out, apart=apart: out.block(apart)])
+            frames.append((child, iter(child.children), out, pre or tag == "pre", lambda out=out, apart=apart: out.block(apart), tables))
         else:
-            frames.append([child, iter(child.children), out, pre or tag in ("textarea", "listing"), None])
+            if tag in ("td", "th"):
+                out.space = out.space or bool(out.now)
+            frames.append((child, iter(child.children), out, pre or tag in ("textarea", "listing"), None, tables))
 
 
-def _indented(child: Node, parent: Node, out: Lines, pre: bool, frames: list[list]) -> None:
+def _indented(child: Node, parent: Node, out: Lines, pre: bool, frames: list[tuple], tables: int) -> None:
+    quote = child.tag == "blockquote"
     if child.tag == "li":
-        parent.start, number = parent.start + 1, parent.start
-        mark = f"{number}. " if parent.tag == "ol" else "- "
+        parent.start, place = parent.start + 1, parent.start
+        mark = f"{place}. " if parent.tag == "ol" else "- "
     else:
-        mark = "    " if child.tag == "dd" else "> "
-    inner = Lines()
-    apart = child.tag == "blockquote"
+        mark = "> " if quote else "    "
+    out.block(quote)
+    out.push(mark, mark if quote else " " * len(mark), quote)
 
     def finish() -> None:
-        out.block(apart)
-        lines = inner.done()
-        rest = mark if child.tag == "blockquote" else " " * len(mark)
-        out.extend([((mark if k == 0 else rest) + x) if x else (rest.rstrip() if apart else "") for k, x in enumerate(lines)])
-        out.block(apart)
+        out.end()
+        out.pop()
+        out.block(quote)
 
-    frames.append([child, iter(child.children), inner, pre, finish])
+    frames.append((child, iter(child.children), out, pre, finish, tables))
 
 
-def _table(table: Node, out: Lines, frames: list[list]) -> None:
+def _table(table: Node, out: Lines, frames: list[tuple], tables: int) -> None:
     rows, other = _cells(table)
     made: list[list[Lines]] = [[Lines() for _ in r] for r in rows]
 
     def finish() -> None:
         out.block(True)
         grid = [[" ".join(x for x in c.done() if x) for c in r] for r in made]
-        out.extend([x for x in _aligned(grid) if x])
+        out.extend([x for x in _aligned(grid, _placed(rows)) if x])
         out.block(True)
 
     out.block(True)
-    frames.append([table, iter(()), out, False, finish])
+    frames.append((table, iter(()), out, False, finish, tables))
     for r, lines in zip(reversed(rows), reversed(made)):
         for cell, text in zip(reversed(r), reversed(lines)):
-            frames.append([cell, iter(cell.children), text, False, None])
+            frames.append((cell, iter(cell.children), text, False, None, tables))
     if other:
         captions = Lines()
 
@@ -338,7 +414,7 @@ def _table(table: Node, out: Lines, frames: list[list]) -> None:
 
         box = Node("div")
         box.children = other
-        frames.append([box, iter(other), captions, False, captioned])
+        frames.append((box, iter(other), captions, False, captioned, tables))
 
 
 def text_of(html: str | None) -> str:
@@ -348,8 +424,8 @@ def text_of(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages.
 
-    Null or empty html: empty text. Broken markup: what a reader would see of it. Very long pages and deep nesting: linear work and no recursion but
-    for a table's sections. Repeated rows: a row each. Null ids: kept. Empty table: empty result. Other columns are ignored."""
+    Null or empty html: empty text. Broken markup: what a reader would see of it; a number that is none counts as absent. Very long pages and deep
+    nesting: linear work and no recursion. Repeated rows: a row each. Null ids: kept. Empty table: empty result. Other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

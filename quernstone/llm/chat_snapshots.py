@@ -3,13 +3,15 @@
 A logged conversation may be a prefix of a longer one: the same turns, logged again later. Each turn gets a hash of its number, role and text,
 and the hash of a prefix is the sum of its turns' hashes, kept in two pairs of 32-bit halves (sums can be added up where the rows are, in
 any order, so a conversation of any length is split over tasks: turns are summed in blocks of `BLOCK` turn numbers, and blocks are
-added up). A conversation whose whole hash and length is a proper prefix of another is left out by an anti-join; of equal conversations the
+added up). Rows of one turn number are one step, by role and text, so a prefix never ends inside a turn number. A conversation whose whole hash and length is a proper prefix of another is left out by an anti-join; of equal conversations the
 smallest conv_id stays. What is left is rendered, one string for each conversation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quernstone.llm.common import grouped
+
 #: Turn numbers in a block.
 BLOCK = 256
 HASHES = ("a", "b", "c", "d")
@@ -44,12 +46,14 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id of the conversations that are no prefix of another, one of each set of equal ones; turns from clean()."""
+    """conv_id of the conversations that are no proper prefix of another, one of each set of equal ones; turns from clean()."""
     keys = [*HASHES, "n"]
     whole = turns.select("conv_id", *_hashes()).groupBy("conv_id").agg(*[F.sum(h).alias(h) for h in HASHES], F.count("*").alias("n"))
     first = whole.groupBy(*keys).agg(F.min("conv_id").alias("conv_id"))
     steps = prefixes(turns)
-    proper = steps.join(whole.select("conv_id", F.col("n").alias("total")), "conv_id").filter("n < total").select(*keys).distinct()
+    totals = whole.select("conv_id", "n")
+    steps = grouped(steps.withColumnRenamed("n", "so_far"), totals, ["conv_id"], turns.count()).filter("so_far < n").drop("n").withColumnRenamed("so_far", "n")
+    proper = steps.select(*keys).distinct()
     return first.join(proper, keys, "left_anti").select("conv_id")
 
 
@@ -63,17 +67,17 @@ def rendered(turns: DataFrame) -> DataFrame:
 def collapse(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, rendered of the maximal conversations.
 
-    Null conv_id or turn: the row is left out. Null role or text: empty. Repeated rows: once. Several rows of a turn: all, by role and text. Empty
-    table: empty result. Very long texts: whole. Other columns are ignored."""
+    Null conv_id or turn: the row is left out. Null role or text: empty. Repeated rows: once. Several rows of a turn: all, by role and text, as one
+    step: a conversation that has only some of them is no prefix. Empty table: empty result. Very long texts: whole. Other columns are ignored."""
     turns = clean(turns)
     return rendered(turns.join(maximal(turns), "conv_id", "left_semi"))
 
 
 ORACLE_SQL = f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-p AS (SELECT conv_id, turn, count(*) OVER w AS n,
-        string_agg(turn || '|' || sha256(role || '|' || text), ',') OVER w AS prefix
-      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT conv_id, turn, count(*) AS k, string_agg(sha256(role || '|' || text), '+' ORDER BY role, text) AS step FROM t GROUP BY conv_id, turn),
+p AS (SELECT conv_id, turn, sum(k) OVER w AS n, string_agg(turn || '|' || step, ',') OVER w AS prefix
+      FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
 z AS (SELECT conv_id, max(n) AS n FROM p GROUP BY conv_id),
 whole AS (SELECT p.conv_id, p.n, p.prefix FROM p JOIN z ON p.conv_id = z.conv_id AND p.n = z.n),
 first AS (SELECT min(conv_id) AS conv_id, n, prefix FROM whole GROUP BY n, prefix),

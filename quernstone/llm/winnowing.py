@@ -8,9 +8,11 @@ Guarantee: two texts that share GUARANTEE words in a row share a selected hash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
 
-from quernstone.llm.common import partitions, stored
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+
+from quernstone.llm.common import partitions
 
 #: Words of a run, and runs of a window (a power of two).
 K, WINDOW = 3, 2
@@ -97,47 +99,61 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("winnowed", selected(F.col(text)))
 
 
-def with_next(docs: DataFrame, width: int = 256) -> DataFrame:
-    """doc_id, text and next_text: the text of the row that follows in descending doc_id (ties by text; null ids last); after the last, the first.
-
-    Rows are dealt to ranges of doc_id about `width` rows wide, and each range also gets the first row of the range that follows, so texts move
-    once and no range is more than its rows. Which range follows is found on one row for each range, dealt by order in turn."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, span = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0) + 1
-    step = max(1, span * width // max(1, ends["n"]))
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr(f"(doc_id - {lo}L) div {step}L")))
-    first = ranged.groupBy("range").agg(F.max("doc_id").alias("first"))
-    follows = stored(_before(first))
-    guests = ranged.join(follows, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("range") == F.col("of"))).groupBy("before").agg(F.max("text").alias("text"))
-    own = ranged.select("range", "doc_id", "text", F.lit(0).alias("guest"))
-    all_ = own.unionByName(guests.select(F.col("before").alias("range"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("guest")))
-    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return all_.withColumn("next_text", F.lead("text").over(order))
-
-
-def _before(first: DataFrame) -> DataFrame:
-    """(of, first, before) for each range: its number, its first doc_id, and the range that comes before it in descending order, around the end.
-
-    Ranges are numbered by sorted partitions, then linked within them; the partitions' ends, a row each, are linked in one small window."""
-    spark = first.sparkSession
-    dealt = stored(first.repartitionByRange(max(1, partitions(spark) // 4), "range").withColumn("p", F.spark_partition_id()))
-    inside = dealt.withColumn("before", F.lead("range").over(Window.partitionBy("p").orderBy("range")))
-    tops = dealt.groupBy("p").agg(F.max("range").alias("top"), F.min("range").alias("bottom"))
-    around = Window.orderBy("p")
-    lowest = tops.select(F.min("bottom").alias("lowest"))
-    linked = tops.withColumn("next", F.lead("bottom").over(around)).crossJoin(F.broadcast(lowest)).select(F.col("top").alias("range"), F.coalesce("next", "lowest").alias("next"))
-    return inside.join(linked, "range", "left").select(F.col("range").alias("of"), "first", F.coalesce("before", "next").alias("before"))
-
-
-def edited_pairs(docs: DataFrame, width: int = 256) -> DataFrame:
+def _bounds(keys: DataFrame, ranges: int, sample: int) -> str:
+    """At most ranges - 1 keys, ascending, that part the rows about evenly, as JSON; from a sample by hash of about `sample` rows for each range."""
+    n = keys.count()
+    share = max(1, n // (ranges * sample))
+    drawn = sorted({(r["u"], r["d"], r["h"]) for r in keys.filter(F.pmod(F.xxhash64(F.lit(3), "k.d", "k.h"), F.lit(share)) == 0).select("k.*").limit(8 * ranges * sample).collect()})
+    step = max(1, -(-len(drawn) // ranges))
+    return json.dumps([{"u": u, "d": d, "h": h} for u, d, h in drawn[step::step]])
+
+
+def _range(k: Column, bounds: str) -> Column:
+    """How many bounds are not above the key, by bisection over the constant array."""
+    n = bounds.count("{")
+    if not n:
+        return F.lit(0)
+    table = F.from_json(F.lit(bounds), f"array<{KEY}>")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(table, at + s - 1) <= k), at + s).otherwise(at))
+
+
+KEY = "struct<u:int,d:bigint,h:bigint>"
+
+
+def with_next(docs: DataFrame, ranges: int | None = None, sample: int = 32) -> DataFrame:
+    """doc_id, text, guest, range, k of each row of docs and of a guest in each range, to be read in order(): the row after each one of docs is the one that
+    follows it in descending doc_id (null last; ties by hash of the text, then by text); after the last comes the first.
+
+    Rows are dealt to ranges of that order (four for each shuffle partition, 65,536 at most; bounds from a bounded sample), and each range also
+    gets the first row of the range that follows as its guest, so texts move once and a range is no more than its rows, whatever the ids. Which
+    range follows is found on the driver, from one key for each range."""
+    spark = docs.sparkSession
+    ranges = ranges or min(65_536, 4 * partitions(spark))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.struct(F.when(F.col("doc_id").isNull(), 1).otherwise(0).alias("u"), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("d"), F.bitwise_not(F.xxhash64("text")).alias("h"))
+    keyed = docs.withColumn("k", key)
+    ranged = keyed.withColumn("range", _range(F.col("k"), _bounds(keyed.select("k"), ranges, sample)))
+    firsts = sorted((r["range"], r["k"]) for r in ranged.groupBy("range").agg(F.min("k").alias("k")).collect())
+    links = [(r, tuple(k), firsts[i - 1][0]) for i, (r, k) in enumerate(firsts)]
+    follows = F.broadcast(spark.createDataFrame(links, f"of int, first {KEY}, before int"))  # a row for each range
+    guests = ranged.join(follows, (F.col("range") == F.col("of")) & (F.col("k") == F.col("first"))).groupBy("before").agg(F.max("text").alias("text"))
+    own = ranged.select("range", "k", "doc_id", "text", F.lit(0).alias("guest"))
+    return own.unionByName(guests.select(F.col("before").alias("range"), F.lit(None).cast(KEY).alias("k"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("guest")))
+
+
+def order() -> WindowSpec:
+    return Window.partitionBy("range").orderBy("guest", "k", F.desc("text"))
+
+
+def edited_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """A row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last half of the code points (rounded down) replaced by the first as many of the next document in descending
-    doc_id. Null text: empty; an empty text has a fingerprint too. Very long texts: linear work. Repeated rows and ties: by text. Null
-    doc_id: last. Empty table: empty result. Other columns are ignored."""
-    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    rows = with_next(docs, width).withColumn("winnowed", selected(F.col("text"))).withColumn("next_winnowed", F.lead("winnowed").over(order)).filter("guest = 0")
+    doc_id. Null text: empty; an empty text has a fingerprint too. Very long texts: linear work. Repeated rows and ties: by hash of the text,
+    descending, then by text. Null doc_id: last. Any ids, however sparse. Empty table: empty result. Other columns are ignored."""
+    rows = with_next(docs, ranges).withColumn("winnowed", selected(F.col("text")))
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order()) for c in ("text", "winnowed")}).filter("guest = 0")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "winnowed", "next_winnowed", edited.alias("edited"))

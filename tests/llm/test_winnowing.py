@@ -66,8 +66,8 @@ def test_edited_pairs(spark):
     ids = [i * i * 7 + 1 for i in range(len(t))]
     df = spark.createDataFrame([(d, x, "c") for d, x in zip(ids, t)], "doc_id long, text string, edited string")
     order = sorted(zip(ids, t), reverse=True)
-    for width in (1, 3, 1000):
-        got = {r.doc_id: r for r in W.edited_pairs(df, width).collect()}
+    for ranges in (1, 3, 1000):
+        got = {r.doc_id: r for r in W.edited_pairs(df, ranges).collect()}
         assert len(got) == len(t)
         for k, (d, x) in enumerate(order):
             x, nxt = x or "", order[(k + 1) % len(order)][1] or ""
@@ -80,6 +80,9 @@ def test_edited_pairs(spark):
     assert W.edited_pairs(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "x"), (5, "ab"), (5, "ab"), (5, None)], "doc_id long, text string")
     assert W.edited_pairs(odd).count() == 4
+    for ids in ((1, 9 * 10**18), (-9 * 10**18, 9 * 10**18), (-(2**63), 2**63 - 1, 0, 1)):
+        far = W.edited_pairs(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")).collect()
+        assert {r.doc_id for r in far} == set(ids)
     one = W.edited_pairs(odd.limit(1).select(F.lit(3).cast("long").alias("doc_id"), F.lit("abcd").alias("text"))).first()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
 
@@ -88,3 +91,10 @@ def test_short_texts_are_like_their_half_copies(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(10 + i % 20))) for i in range(60)]
     got = W.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 60 and all(r.near_edited > 0 and r.near_next == 0 for r in got)
+
+
+def test_ranges_are_even_whatever_the_ids(spark):
+    rows = [(i, f"t {i}") for i in range(3000)] + [(i * 10**14, f"u {i}") for i in range(1, 1000)] + [(None, f"v {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in W.with_next(df, ranges=20).filter("guest = 0").groupBy("range").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) >= 10 and max(sizes) < 1000

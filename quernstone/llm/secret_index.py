@@ -15,11 +15,14 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quernstone.llm.common import stored
 
 #: doc_ids in a block of postings.
 BLOCK = 1024
 #: Strings that a part of an expression may expand to, before it counts as unknown.
 MOST = 32
+#: Elements summed at once in running().
+WIDE = 64
 
 Query = tuple | str | None
 """A trigram, ("and", ...), ("or", ...), or None where every text may match."""
@@ -158,33 +161,54 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, levels: int = 3) -> Column:
+    """Running sums of an array of longs: within blocks of WIDE elements, and the same way over the blocks' sums."""
+    zero = F.lit(0).cast("long")
+
+    def few(v: Column) -> Column:
+        return F.transform(v, lambda _, i: F.aggregate(F.slice(v, F.lit(1), i + 1), zero, lambda a, x: a + x))
+
+    def many(v: Column, left: int) -> Column:
+        if not left:
+            return few(v)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / WIDE).cast("int")), lambda b: F.slice(v, b * WIDE + 1, F.lit(WIDE)))
+        sums = lambda inner: many(F.transform(inner, lambda x: F.element_at(x, -1)), left - 1)
+        moved = lambda inner: F.flatten(F.zip_with(inner, sums(inner), lambda x, upto: F.transform(x, lambda y: y + upto - F.element_at(x, -1))))
+        return F.when(F.size(v) <= WIDE, few(v)).otherwise(_let(F.transform(blocks, few), moved))
+
+    return many(values, levels)
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Leftmost non-overlapping matches that are long enough, as structs with code-point start and stop."""
+    """Leftmost non-overlapping matches that are long enough, as structs with code-point start and stop; linear in the text."""
     found, sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    parts = F.struct(F.split(text, rule.pattern).alias("p"), found.alias("m"), sized.alias("g"))
+    lengths = lambda x: F.transform(x, lambda s: F.length(s).cast("long"))
+    parts = F.struct(lengths(F.split(text, rule.pattern)).alias("p"), lengths(found).alias("m"), lengths(sized).alias("g"))
 
     def placed(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(F.get(x["p"], i))
-            stop = start + F.length(F.get(x["m"], i))
-            one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind")))
-            return F.struct(stop.alias("pos"), F.when(F.length(F.get(x["g"], i)) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-        start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), start, step)["out"]
+        stops = running(F.transform(x["m"], lambda m, i: m + F.get(x["p"], i)))
+        one = lambda stop, i: F.struct((stop - F.get(x["m"], i)).alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"), F.get(x["g"], i).alias("size"))
+        long = _let(stops, lambda v: F.filter(F.transform(v, one), lambda s: s["size"] >= rule.least))
+        return F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind")))
 
     nothing = F.array().cast(SPAN)
-    return F.get(F.transform(F.array(parts), lambda x: F.when(F.size(x["m"]) > 0, placed(x)).otherwise(nothing)), F.lit(0))
+    return F.coalesce(_let(parts, lambda x: F.when(F.size(x["m"]) > 0, placed(x)).otherwise(nothing)), nothing)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (doc_id, text) with spans: array of (start, rank, stop, kind), by start and then rank, the rule's place.
 
     Null text counts as empty. Rows without doc_id aren't in the index and are scanned by every rule. Repeated doc_ids: each row is verified by the
-    rules that any of them may match. Empty table: empty result."""
+    rules that any of them may match. Any number of matches. Empty table: empty result. The candidates are written first, so that Spark's own
+    size check can send few of them to the texts instead of shuffling the texts."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     indexed = {r.kind for r in rules if derive(r.pattern) is not None}
-    rows = docs.join(candidates(docs, rules), "doc_id", "left")
+    rows = docs.join(stored(candidates(docs, rules)), "doc_id", "left") if indexed else docs.withColumn("kinds", F.lit(None).cast("array<string>"))
     each = []
     for rank, r in enumerate(rules):
         every = spans(F.col("text"), r, rank)

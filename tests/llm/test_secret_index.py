@@ -60,3 +60,18 @@ def test_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, "token=abcdefg"), (1, "token=abcdefg"), (1, "no")], "doc_id long, text string")
     assert sorted(r.n_assign for r in S.report(df).collect()) == [0, 1, 1]
     assert S.report(df.limit(0)).count() == 0
+
+
+def test_running_sums_and_very_many_matches(spark, monkeypatch):
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "WIDE", 3)
+    rows = [(i, [(k * 7 + i) % 11 for k in range(n)]) for i, n in enumerate((0, 1, 2, 3, 4, 9, 10, 28, 82, 200, 700))]
+    for r in spark.createDataFrame(rows, "i int, v array<long>").select("v", S.running(F.col("v")).alias("s")).collect():
+        assert r.s == [sum(r.v[: k + 1]) for k in range(len(r.v))]
+    monkeypatch.undo()
+    text = "token=abcdef0 é " * 5000 + "f" * 30
+    r = S.report(spark.createDataFrame([(3, text)], "doc_id long, text string")).first()
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=abcdef0", text)] + [f"hex:{len(text) - 30}:{len(text)}"]
+    assert r.spans == ",".join(want) and (r.n_assign, r.n_hex) == (5000, 1)

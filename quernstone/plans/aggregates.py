@@ -234,19 +234,11 @@ def a36(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(F.array_distinct(F.split("text", r"\."))).cast("long").alias("n"))
 
 
-SPANS = "s AS (SELECT epoch(o_orderdate)::BIGINT // 86400 AS a, epoch(o_orderdate)::BIGINT // 86400 + 1 + o_orderkey % 5 AS b, o_orderstatus = 'F' AS k FROM orders WHERE o_orderkey % 400 < 20)"
+SPANS = "s AS (SELECT epoch(o_orderdate)::BIGINT // 86400 AS a, epoch(o_orderdate)::BIGINT // 86400 + 1 + o_orderkey % 5 AS b, o_orderstatus = 'F' AS k FROM orders)"
 
 
 @query("a37_sweep_line_coverage", f"WITH {SPANS}, e AS (SELECT a AS t, 1 AS d, k FROM s UNION ALL SELECT b, -1, k FROM s), g AS (SELECT t, sum(CASE WHEN k THEN d ELSE 0 END) AS x, sum(CASE WHEN k THEN 0 ELSE d END) AS y FROM e GROUP BY t), r AS (SELECT sum(x) OVER w AS x, sum(y) OVER w AS y, lead(t) OVER w - t AS n FROM g WINDOW w AS (ORDER BY t)) SELECT CASE WHEN x > 0 AND y > 0 THEN 'both' WHEN x > 0 THEN 'a' WHEN y > 0 THEN 'b' ELSE 'idle' END AS state, CAST(sum(n) AS BIGINT) AS n FROM r WHERE n IS NOT NULL GROUP BY 1")
 def a37(spark, sf):
-    day = F.expr("unix_timestamp(o_orderdate) div 86400")
-    o = table(spark, sf, "orders").filter("o_orderkey % 400 < 20").select(day.alias("start"), (day + 1 + F.col("o_orderkey") % 5).alias("stop"), (F.col("o_orderstatus") == "F").alias("kind"))
-    return S.coverage(o)
-
-
-@query("a37_sweep_line_coverage_whole")
-def a37_whole(spark, sf):
-    """a37 over all orders."""
     day = F.expr("unix_timestamp(o_orderdate) div 86400")
     kind = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
     return S.coverage(table(spark, sf, "orders").select(day.alias("start"), (day + 1 + F.col("o_orderkey") % 5).alias("stop"), kind.alias("kind")))

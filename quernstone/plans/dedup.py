@@ -79,22 +79,12 @@ def d09(spark, sf):
     return d.filter("doc_id % 2 = 0").select(F.lit("a").alias("part")).unionByName(d.select(F.lit("b").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
 
 
-CUTS = "b AS (SELECT DISTINCT CAST(sum(n_chars % 64) OVER (ORDER BY doc_id) AS BIGINT) AS x FROM documents WHERE source = 'src1'), c AS (SELECT unnest(generate_series(0, (SELECT max(x) FROM b), 3)) AS x)"
+CUTS = "b AS (SELECT DISTINCT CAST(sum(n_chars % 64) OVER (ORDER BY doc_id) AS BIGINT) AS x FROM documents), c AS (SELECT unnest(generate_series(0, (SELECT max(x) FROM b), 3)) AS x)"
 
 
 @query("d10_intersect_cuts", f"WITH {CUTS} SELECT x FROM b INTERSECT SELECT x FROM c")
 def d10(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    b = docs(spark, sf).filter("source = 'src1'").select(F.sum(F.col("n_chars") % 64).over(w).alias("x")).distinct()
-    cuts = b.agg(F.max("x").alias("m")).select(F.explode(F.expr("sequence(0L, m, 3L)")).alias("x"))
-    return b.intersect(cuts)
-
-
-@query("d10_intersect_cuts_whole")
-def d10_whole(spark, sf):
-    """d10 with the offsets of all documents."""
+    """Offsets of all documents, with sums carried over ranges of doc_id."""
     b = statistics.running(docs(spark, sf).select("doc_id", "n_chars"), "doc_id", "x", F.col("n_chars") % 64).select("x").distinct()
     most = b.agg(F.max("x")).first()[0]
     return b.intersect(spark.range(0, 0 if most is None else most + 1, 3).select(F.col("id").alias("x")))

@@ -91,17 +91,9 @@ def j12(spark, sf):
     return j.select("n_name", F.coalesce("r_name", F.lit("none")).alias("region"), F.coalesce("ns", "nc", F.lit(0)).cast("long").alias("n"))
 
 
-@query("j13_ordinal_lookup_chain", "WITH o AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS beg, sum(n_chars) OVER (ORDER BY doc_id) AS fin FROM documents WHERE source = 'src0') SELECT q * 1000 AS at, doc_id FROM (SELECT unnest(generate_series(0, (SELECT CAST(max(fin) - 1 AS BIGINT) // 1000 FROM o))) AS q) JOIN o ON q * 1000 >= beg AND q * 1000 < fin")
+@query("j13_ordinal_lookup_chain", "WITH o AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS beg, sum(n_chars) OVER (ORDER BY doc_id) AS fin FROM documents) SELECT q * 1000 AS at, doc_id FROM (SELECT unnest(generate_series(0, (SELECT CAST(max(fin) - 1 AS BIGINT) // 1000 FROM o))) AS q) JOIN o ON q * 1000 >= beg AND q * 1000 < fin")
 def j13(spark, sf):
-    run = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    o = t(spark, sf, "documents").filter("source = 'src0'").select("doc_id", "n_chars", run.alias("b_stop"), "source").select("doc_id", (F.col("b_stop") - F.col("n_chars")).alias("b_start"), "b_stop")
-    at = o.agg(F.max("b_stop").alias("m")).select(F.explode(F.expr("sequence(0L, (m - 1) div 1000)")).alias("q")).select((F.col("q") * 1000).alias("a_start"), (F.col("q") * 1000 + 1).alias("a_stop"))
-    return intervals.overlaps(at, o, 4000).select(F.col("a_start").alias("at"), "doc_id")
-
-
-@query("j13_ordinal_lookup_chain_whole")
-def j13_whole(spark, sf):
-    """j13 with the offsets of all documents."""
+    """Offsets of all documents, with sums carried over ranges of doc_id."""
     o = statistics.running(t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", "b_stop", F.col("n_chars"))
     o = o.select("doc_id", (F.col("b_stop") - F.coalesce("n_chars", F.lit(0))).alias("b_start"), "b_stop")
     most = o.agg(F.max("b_stop")).first()[0] or 0
@@ -109,29 +101,11 @@ def j13_whole(spark, sf):
     return intervals.overlaps(at, o, 4000).select(F.col("a_start").alias("at"), "doc_id")
 
 
-LEFT = "(SELECT o_orderkey AS a, epoch(o_orderdate)::BIGINT // 86400 AS a0, epoch(o_orderdate)::BIGINT // 86400 + 2 AS a1 FROM orders WHERE o_orderkey % 50 < 2)"
-RIGHT = "(SELECT o_orderkey AS b, epoch(o_orderdate)::BIGINT // 86400 AS b0, epoch(o_orderdate)::BIGINT // 86400 + 3 AS b1 FROM orders WHERE o_orderkey % 50 = 7)"
+LEFT = "(SELECT o_orderkey AS a, epoch(o_orderdate)::BIGINT // 86400 AS a0, epoch(o_orderdate)::BIGINT // 86400 + 2 AS a1 FROM orders WHERE o_orderstatus = 'F')"
+RIGHT = "(SELECT o_orderkey AS b, epoch(o_orderdate)::BIGINT // 86400 AS b0, epoch(o_orderdate)::BIGINT // 86400 + 3 AS b1 FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F')"
 
 
 def spans(spark, sf):
-    day = F.expr("unix_timestamp(o_orderdate) div 86400")
-    o = t(spark, sf, "orders")
-    left = o.filter("o_orderkey % 50 < 2").select(F.col("o_orderkey").alias("a"), day.alias("a_start"), (day + 2).alias("a_stop"))
-    right = o.filter("o_orderkey % 50 = 7").select(F.col("o_orderkey").alias("b"), day.alias("b_start"), (day + 3).alias("b_stop"))
-    return left, right
-
-
-@query("j14_interval_overlap", f"SELECT a, CAST(sum(least(a1, b1) - greatest(a0, b0)) AS BIGINT) AS covered, count(*) AS n FROM {LEFT} JOIN {RIGHT} ON a0 < b1 AND a1 > b0 GROUP BY a")
-def j14(spark, sf):
-    return intervals.overlaps(*spans(spark, sf), 30).groupBy("a").agg(F.sum(F.least("a_stop", "b_stop") - F.greatest("a_start", "b_start")).alias("covered"), F.count("*").alias("n"))
-
-
-@query("j15_interval_containment", f"SELECT a, b FROM {LEFT} JOIN {RIGHT} ON a0 >= b0 AND a1 <= b1")
-def j15(spark, sf):
-    return intervals.overlaps(*spans(spark, sf), 30).filter("a_start >= b_start and a_stop <= b_stop").select("a", "b")
-
-
-def whole_spans(spark, sf):
     """Every order is on one side: finished ones (status F) on the left, all others on the right."""
     day = F.expr("unix_timestamp(o_orderdate) div 86400")
     o = t(spark, sf, "orders")
@@ -141,20 +115,20 @@ def whole_spans(spark, sf):
     return left, right
 
 
-@query("j14_interval_overlap_whole")
-def j14_whole(spark, sf):
-    """j14 over all orders. Equal spans of a side meet once, with their number, so pairs do not grow with the orders of a day."""
-    left, right = whole_spans(spark, sf)
+@query("j14_interval_overlap", f"SELECT a, CAST(sum(least(a1, b1) - greatest(a0, b0)) AS BIGINT) AS covered, count(*) AS n FROM {LEFT} JOIN {RIGHT} ON a0 < b1 AND a1 > b0 GROUP BY a")
+def j14(spark, sf):
+    """Equal spans of a side meet once, with their number, so pairs do not grow with the orders of a day."""
+    left, right = spans(spark, sf)
     a, b = left.select("a_start", "a_stop").distinct(), right.groupBy("b_start", "b_stop").agg(F.count("*").alias("c"))
     length = F.least("a_stop", "b_stop") - F.greatest("a_start", "b_start")
     met = intervals.overlaps(a, b, 4).groupBy("a_start", "a_stop").agg(F.sum(length * F.col("c")).alias("covered"), F.sum("c").alias("n"))
     return left.join(met, ["a_start", "a_stop"]).select("a", "covered", "n")
 
 
-@query("j15_interval_containment_whole")
-def j15_whole(spark, sf):
-    """j15 over all orders: its rows are the pairs themselves."""
-    return intervals.overlaps(*whole_spans(spark, sf), 4).filter("a_start >= b_start and a_stop <= b_stop").select("a", "b")
+@query("j15_interval_containment", f"SELECT a, b FROM {LEFT} JOIN {RIGHT} ON a0 >= b0 AND a1 <= b1")
+def j15(spark, sf):
+    """Its rows are the pairs themselves."""
+    return intervals.overlaps(*spans(spark, sf), 4).filter("a_start >= b_start and a_stop <= b_stop").select("a", "b")
 
 
 @query("j16_similarity_arg_max", """WITH w AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), p AS (SELECT a.item_id, b.item_id AS best, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS s FROM w a JOIN w b ON a.item_id <> b.item_id)
@@ -172,18 +146,12 @@ def j16(spark, sf):
 TOK = "regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[a-z0-9]+)*|[가-힣]+|[一-鿿]+')"
 
 
-@query("j17_bm25_retrieval", f"""WITH p AS (SELECT doc_id, {TOK} AS t FROM documents WHERE n_chars < 3000), x AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM p), i AS (SELECT term, doc_id, length, count(*) AS tf FROM x GROUP BY ALL),
+@query("j17_bm25_retrieval", f"""WITH p AS (SELECT doc_id, {TOK} AS t FROM documents), x AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM p), i AS (SELECT term, doc_id, length, count(*) AS tf FROM x GROUP BY ALL),
     z AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM i)), d AS (SELECT term, count(*) AS df FROM i GROUP BY term), q AS (SELECT item_id AS query_id, unnest(list_distinct({TOK})) AS term FROM benchmark),
     s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM q JOIN d USING (term) JOIN i USING (term), z GROUP BY ALL)
     SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 3""")
 def j17(spark, sf):
-    """Passages are the documents under 3,000 characters: that is what the index is of."""
-    return best_three(spark, sf, t(spark, sf, "documents").filter("n_chars < 3000"))
-
-
-@query("j17_bm25_retrieval_whole")
-def j17_whole(spark, sf):
-    """j17 with every document in the index and in its statistics."""
+    """Every document is in the index and in its statistics."""
     return best_three(spark, sf, t(spark, sf, "documents"))
 
 

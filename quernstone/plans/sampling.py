@@ -90,15 +90,8 @@ def o13(spark, sf):
     return docs(spark, sf).filter((F.col("doc_id") >= 50) & ~F.contains("text", F.lit("!!"))).select("doc_id").orderBy(F.desc("doc_id")).limit(12)
 
 
-@query("o14_deferred_stratum", "SELECT doc_id, CAST(row_number() OVER (ORDER BY lang = 'de', doc_id) AS BIGINT) AS place FROM documents WHERE doc_id < 100")
+@query("o14_deferred_stratum", "SELECT doc_id, CAST(row_number() OVER (ORDER BY lang = 'de', doc_id) AS BIGINT) AS place FROM documents")
 def o14(spark, sf):
-    """doc_id < 100 is the stratum that is ordered; a place over a corpus would be a range sort."""
-    d = docs(spark, sf).filter("doc_id < 100").select("doc_id", (F.col("lang") == "de").alias("later"))
-    return d.select("doc_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("later", "doc_id")).cast("long").alias("place"))
-
-
-@query("o14_deferred_stratum_whole")
-def o14_whole(spark, sf):
     """The place of every document: German ones after all others (unknown languages last, as in the SQL), each by doc_id."""
     later = F.coalesce((F.col("lang") == "de").cast("int"), F.lit(2))
     return statistics.running(docs(spark, sf).select("doc_id", "lang"), "doc_id", "place", group=later).select("doc_id", "place")

@@ -56,21 +56,12 @@ def w05(spark, sf):
     return n.filter("not (nxt is null and role = 'user') and not (role = 'system' and prv is not null)").select("conv_id", "turn", "role")
 
 
-TOKENS = "t AS (SELECT doc_id, list_transform(string_split(substr(text, 1, 300), ' '), lambda w: length(w) % 7) AS tokens FROM documents)"
+TOKENS = "t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) % 7) AS tokens FROM documents)"
 
 
 def tokens(spark, sf):
     """Small token arrays derived from words, so that segment operators have an oracle: the length of a word modulo 7; 0 ends a segment."""
-    return tokens_of(docs(spark, sf), F.substring("text", 1, 300))
-
-
-def whole_tokens(spark, sf):
-    """The same of whole texts."""
-    return tokens_of(docs(spark, sf), F.col("text"))
-
-
-def tokens_of(d, text):
-    return d.select("doc_id", F.transform(F.split(text, " "), lambda w: F.length(w) % 7).alias("tokens"))
+    return docs(spark, sf).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w) % 7).alias("tokens"))
 
 
 @query("w06_run_ends", f"WITH {TOKENS}, p AS (SELECT doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM t), e AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM p) SELECT doc_id, count(*) AS ends, sum(CAST(i % 4 = 0 AS INT)) AS on_grid FROM e WHERE t = 0 AND nxt IS NOT NULL AND nxt <> 0 GROUP BY doc_id")
@@ -78,11 +69,6 @@ def w06(spark, sf):
     return run_ends(tokens(spark, sf))
 
 
-@query("w06_run_ends_whole")
-def w06_whole(spark, sf):
-    return run_ends(whole_tokens(spark, sf))
-
-
 def run_ends(t):
     at = F.expr("filter(sequence(1, size(tokens)), i -> get(tokens, i - 1) = 0 and get(tokens, i) is not null and get(tokens, i) <> 0)")
     e = t.select("doc_id", at.alias("at")).filter(F.size("at") > 0)
@@ -101,11 +87,6 @@ def w08(spark, sf):
     return position_sums(tokens(spark, sf))
 
 
-@query("w08_position_reset_whole")
-def w08_whole(spark, sf):
-    return position_sums(whole_tokens(spark, sf))
-
-
 def position_sums(t):
     p = t.select("doc_id", F.explode(Wn.positions(F.col("tokens"), 0)).alias("pos"))
     return p.groupBy("doc_id").agg(F.sum("pos").alias("total"), F.max("pos").cast("long").alias("most"))
@@ -116,11 +97,6 @@ def w09(spark, sf):
     return segment_counts(tokens(spark, sf))
 
 
-@query("w09_segment_boundaries_whole")
-def w09_whole(spark, sf):
-    return segment_counts(whole_tokens(spark, sf))
-
-
 def segment_counts(t):
     cu = t.select("doc_id", Wn.boundaries(Wn.positions(F.col("tokens"), 0)).alias("cu"))
     return cu.select("doc_id", (F.size("cu") - 1).cast("long").alias("segments"), F.element_at("cu", -1).cast("long").alias("length"))
@@ -134,7 +110,7 @@ def w10(spark, sf):
 
 @query("w11_merge_pad_segments")
 def w11(spark, sf):
-    t = whole_tokens(spark, sf).withColumn("cu", Wn.boundaries(Wn.positions(F.col("tokens"), 0)))
+    t = tokens(spark, sf).withColumn("cu", Wn.boundaries(Wn.positions(F.col("tokens"), 0)))
     return t.select("doc_id", Wn.merge_pad_segments(F.col("cu"), F.col("tokens"), 0).alias("cu"))
 
 
@@ -182,11 +158,6 @@ def w18(spark, sf):
     return repeated_pattern(tokens(spark, sf))
 
 
-@query("w18_repeated_pattern_whole")
-def w18_whole(spark, sf):
-    return repeated_pattern(whole_tokens(spark, sf))
-
-
 def repeated_pattern(t):
     found = F.exists(F.expr("sequence(1, size(tokens) - 5)"), lambda i: F.slice("tokens", i, F.lit(3)) == F.slice("tokens", i + 3, F.lit(3)))
     return t.select("doc_id", F.coalesce(F.when(F.size("tokens") >= 6, found), F.lit(False)).alias("repeated"))

@@ -152,8 +152,8 @@ def edited_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The edited text has the last half of the code points (rounded down) replaced by the first as many of the next document in descending
     doc_id. Null text: empty; an empty text has a fingerprint too. Very long texts: linear work. Repeated rows and ties: by hash of the text,
     descending, then by text. Null doc_id: last. Any ids, however sparse. Empty table: empty result. Other columns are ignored."""
-    rows = with_next(docs, ranges).withColumn("winnowed", selected(F.col("text")))
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order()) for c in ("text", "winnowed")}).filter("guest = 0")
+    rows = with_next(docs, ranges).withColumn("next_text", F.lead("text").over(order()))  # hashes are made after the shuffle, so that texts alone move
+    rows = rows.withColumn("winnowed", selected(F.col("text"))).withColumn("next_winnowed", F.lead("winnowed").over(order())).filter("guest = 0")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "winnowed", "next_winnowed", edited.alias("edited"))

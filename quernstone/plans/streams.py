@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.plans.registry import query
 from quernstone.sources import files
+from quernstone.sources.scratch import folder
 from quernstone.sources.tables import table
 from quernstone.streaming import operators as Z
 
 
-def _folder(spark: SparkSession) -> str:
-    """Where streams keep state: the folder that the cluster shares."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(df: DataFrame) -> DataFrame:
     """All rows that a streaming frame appends for the data at hand, as a table."""
-    spark, at = df.sparkSession, _folder(df.sparkSession)
+    spark, at = df.sparkSession, folder(df.sparkSession, "stream")
     q = df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from quernstone.sources import named
 
 
 def jsonl(spark: SparkSession, paths: str | list[str], key: str = "text") -> DataFrame:
@@ -25,16 +27,100 @@ def scan_report(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "malformed").alias("parse_errors"), F.count_if(F.col("status") == "empty").alias("empty_docs"))
 
 
+def json_parts(text: Column) -> Column:
+    """The JSON values of a file: its lines, or all of it where it is an array that goes over lines (its first line is no value by itself)."""
+    first = F.regexp_extract(text, r"^\s*([^\n]*)", 1)
+    return F.when(F.ltrim(text).startswith("[") & F.try_parse_json(first).isNull(), F.array(text)).otherwise(F.split(text, "\n"))
+
+
 def json_any(spark: SparkSession, path: str) -> DataFrame:
     """value (variant) of each row of JSON files that hold an array, an array of arrays, or lines."""
     whole = spark.read.text(path, wholetext=True).select("value")
-    parts = F.when(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("["), F.array("value")).otherwise(F.split("value", "\n"))
+    parts = json_parts(F.col("value"))
     rows = whole.select(F.explode(parts).alias("line")).select(F.try_parse_json("line").alias("v")).filter("v is not null")
     kind = lambda c: F.schema_of_variant(c).startswith("ARRAY")
     flat = rows.select(F.explode(F.when(kind("v"), F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(F.array("v"))).alias("v"))
     return flat.select(F.explode(F.when(kind("v"), F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(F.array("v"))).alias("value"))
 
 
+def zstd_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl.{zst,zstd}") -> DataFrame:
+    """path, raw of each line of zstandard files (the extension .zstd is an alias of .zst); a file is decompressed as a stream, line by line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        for b in batches:
+            for p, data in zip(b["path"], b["content"]):
+                lines, size = [], 0
+                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as r:
+                    for line in io.TextIOWrapper(r, encoding="utf-8"):
+                        lines.append(line.rstrip("\n"))
+                        size += len(line)
+                        if size > 8_000_000:
+                            yield pd.DataFrame({"path": p, "raw": lines})
+                            lines, size = [], 0
+                yield pd.DataFrame({"path": p, "raw": lines})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, raw string")
+
+
+def listed(spark: SparkSession, list_file: str) -> DataFrame:
+    """rank, raw of each line of the files that a list file names, one to a line (empty lines and # comments left out); a missing file is an error."""
+    paths = [r["value"].strip() for r in spark.read.text(list_file).collect()]  # a list of files, not data
+    paths = [p for p in paths if p and not p.startswith("#")]
+    jvm, out = spark.sparkContext._jvm, None
+    for rank, p in enumerate(paths):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(p)
+        one = spark.read.text(p).select(F.lit(rank).alias("rank"), F.col("value").alias("raw"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "rank int, raw string")
+
+
+def sqlite_rows(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
+    """Rows of a SQL query over each SQLite file; a file is a task's unit and is opened from its bytes."""
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for b in batches:
+            for data in b["content"]:
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(data))
+                cursor = con.execute(sql)
+                while rows := cursor.fetchmany(10_000):
+                    yield pd.DataFrame(rows, columns=names)
+                con.close()
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.sqlite").load(path).select("content").mapInPandas(run, schema)
+
+
+def media_conversations(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """id, image, conversations of JSON and JSON-lines files anywhere under a folder; relative image and video paths get `root` before them."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True).select("value")
+    parts = json_parts(F.col("value"))
+    rows = files.select(F.explode(parts).alias("line")).select(F.try_parse_json("line").alias("v")).filter("v is not null")
+    each = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.expr("try_variant_get(v, '$', 'array<variant>')")).otherwise(F.array("v"))
+    v = rows.select(F.explode(each).alias("v"))
+    get = lambda k, t: F.try_variant_get("v", f"$.{k}", t)
+    media = F.coalesce(get("image", "string"), get("video", "string"))
+    full = F.when(media.startswith("/") | media.contains("://"), media).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), media))
+    return v.select(get("id", "string").alias("id"), full.alias("media"), F.when(get("video", "string").isNotNull(), "video").otherwise("image").alias("kind"), F.size(get("conversations", "array<variant>")).cast("long").alias("turns"))
+
+
+def trials(spark: SparkSession, path: str) -> DataFrame:
+    """trial, result (variant), reward of each trial folder: its result.json and the number in its reward.txt (null without one)."""
+
+    def of(name: str) -> DataFrame:
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path, wholetext=True)
+        return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("trial"), F.col("value").alias(name.split(".")[0]))
+
+    return of("result.json").join(of("reward.txt"), "trial", "left").select("trial", F.try_parse_json("result").alias("result"), F.expr("try_cast(trim(reward) as double)").alias("reward"))
+
+
 def mixed(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows of parquet, JSON-lines and compressed JSON-lines files by name of columns; absent ones null."""
     out = None
@@ -107,8 +193,8 @@ def tar_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "key string, parts map<string,binary>")
 
 
-def write_tar_shards(samples: DataFrame, path: str, most: int = 1000) -> DataFrame:
-    """Writes samples (key, parts) to tar shards of at most `most`; a row (shard, samples) for each. Shards are files of a binary table under path."""
+def write_tar_shards(samples: DataFrame, path: str, most: int = 1000) -> None:
+    """Writes samples (key, parts) to tar files of at most `most` samples, committed by name."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tarfile
@@ -122,10 +208,9 @@ def write_tar_shards(samples: DataFrame, path: str, most: int = 1000) -> DataFra
                             info = tarfile.TarInfo(f"{key}.{end}")
                             info.size = len(data)
                             t.addfile(info, io.BytesIO(bytes(data)))
-                yield pd.DataFrame({"shard": [str(some["key"].iloc[0])], "samples": [len(some)], "content": [out.getvalue()]})
+                yield pd.DataFrame({"name": [f"{some['key'].iloc[0]}.tar"], "content": [out.getvalue()]})
 
-    samples.select("key", "parts").mapInPandas(run, "shard string, samples long, content binary").write.parquet(path)
-    return samples.sparkSession.read.parquet(path).select("shard", "samples")
+    named.write(samples.select("key", "parts").mapInPandas(run, named.SCHEMA), path)
 
 
 def wiki_pages(spark: SparkSession, path: str) -> DataFrame:

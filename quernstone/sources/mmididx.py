@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -160,10 +161,10 @@ def register(spark: SparkSession) -> None:
 def lengths(spark: SparkSession, path: str) -> DataFrame:
     """path, sequences, tokens of each index file, from the index alone."""
 
-    @F.udf("struct<sequences:bigint,tokens:bigint>")
-    def totals(data):
-        _, n, _ = header(bytes(data[:34]))
-        return n, int(np.frombuffer(bytes(data[34 : 34 + 4 * n]), np.int32).sum(dtype=np.int64))
+    @F.pandas_udf("sequences bigint, tokens bigint")
+    def totals(data: pd.Series) -> pd.DataFrame:
+        n = [header(bytes(d[:34]))[1] for d in data]
+        return pd.DataFrame({"sequences": n, "tokens": [int(np.frombuffer(d[34 : 34 + 4 * k], np.int32).sum(dtype=np.int64)) for d, k in zip(data, n)]}, dtype=np.int64)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").option("recursiveFileLookup", True).load(path)
     return files.select("path", totals("content").alias("t")).select("path", "t.sequences", "t.tokens")

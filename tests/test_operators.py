@@ -113,11 +113,11 @@ def test_arrow_numpy_and_tar(spark, tmp_path):
     np.save(tmp_path / "n.npy", np.arange(6).reshape(3, 2))
     assert [r.value for r in files.numpy_array(spark, str(tmp_path / "n.npy")).orderBy("ordinal").collect()] == [[0, 1], [2, 3], [4, 5]]
     samples = spark.createDataFrame([(f"k{i}", {"json": b"{}", "jpg": bytes([i])}) for i in range(5)], "key string, parts map<string,binary>").coalesce(1)
-    shards = files.write_tar_shards(samples, str(tmp_path / "shards"), 2)
-    assert sorted(r.samples for r in shards.collect()) == [1, 2, 2]
-    data = spark.read.parquet(str(tmp_path / "shards")).first()
-    (tmp_path / "one.tar").write_bytes(data.content)
-    assert files.tar_samples(spark, str(tmp_path / "one.tar")).count() == data.samples
+    files.write_tar_shards(samples, str(tmp_path / "shards"), 2)
+    tars = sorted((tmp_path / "shards").glob("*.tar"))
+    assert len(tars) == 3 and all(t.with_name(f"{t.name}.done").exists() for t in tars) and not list((tmp_path / "shards").glob("*.partial*"))
+    got = files.tar_samples(spark, f"{tmp_path}/shards/*.tar")
+    assert sorted((r.key, sorted(r.parts)) for r in got.collect()) == [(f"k{i}", ["jpg", "json"]) for i in range(5)]
 
 
 def test_blend_file_spec_and_listing(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.functions import text as X
-from quernstone.operators import chat
+from quernstone.operators import chat, gates
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
 
@@ -125,10 +125,9 @@ def f12(spark, sf):
 def f14(spark, sf):
     words = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
     d = docs(spark, sf).select("doc_id", words.alias("w"), F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(x)), lambda x: x != "").alias("s"))
-    grams = F.when(F.size("w") >= 4, F.transform(F.expr("sequence(0, size(w) - 4)"), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3))))
-    top = d.select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", F.xxhash64("g").alias("g")).count().groupBy("doc_id").agg(F.max("count").alias("top4"))
-    unique, n, t = F.size(F.array_distinct("s")), F.size("s"), F.coalesce("top4", F.lit(0)).cast("long")
-    return d.select("doc_id", n.alias("n"), unique.alias("u")).join(top, "doc_id", "left").select("doc_id", t.alias("top4"), (((t >= 5) & (F.col("u") < 0.7 * F.col("n"))) | ((F.col("n") >= 12) & (F.col("u") < 0.3 * F.col("n")))).alias("degenerate"))
+    unique, n, t = F.size(F.array_distinct("s")), F.size("s"), F.col("top4")
+    d = d.withColumn("top4", gates.most_repeated(gates.four_grams(F.col("w"))).cast("long"))
+    return d.select("doc_id", "top4", (((t >= 5) & (unique < 0.7 * n)) | ((n >= 12) & (unique < 0.3 * n))).alias("degenerate"))
 
 
 @query("f15_structural_injection", f"SELECT conv_id, bool_or({SPECIAL_SQL}) AS injected FROM conversations GROUP BY conv_id")

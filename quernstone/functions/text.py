@@ -82,3 +82,41 @@ def ramp(i: Column, start: int, full: int, low: float, high: float) -> Column:
 
 def round_up(n: Column, multiple: int) -> Column:
     return F.ceil(n / multiple) * multiple
+
+
+#: What stands for leaked terms of a prompt's scaffold, by language.
+IDENTITY = {
+    "ko": "제 정체성 정보", "en": "my identity information", "zh": "我的身份信息", "ja": "私のアイデンティティ情報", "es": "mi información de identidad", "de": "meine Identitätsinformationen",
+    "fr": "mes informations d'identité", "it": "le mie informazioni di identità", "pt": "minhas informações de identidade",
+}
+SECTIONS = {
+    "en": {"SCALE": "scale", "ARCHITECTURE": "architecture", "ORIGIN": "origin", "DEVELOPED BY": "developer", "NOT DISCLOSED": "not-disclosed", "UNDISCLOSED": "undisclosed", "NAME": "name"},
+    "ko": {"SCALE": "규모", "ARCHITECTURE": "아키텍처", "ORIGIN": "출처", "DEVELOPED BY": "개발 주체", "NOT DISCLOSED": "비공개", "UNDISCLOSED": "비공개", "NAME": "명칭"},
+    "ja": {"SCALE": "規模", "ARCHITECTURE": "アーキテクチャ", "ORIGIN": "出自", "DEVELOPED BY": "開発主体", "NOT DISCLOSED": "非公開", "UNDISCLOSED": "非公開", "NAME": "名称"},
+    "zh": {"SCALE": "规模", "ARCHITECTURE": "架构", "ORIGIN": "来源", "DEVELOPED BY": "开发主体", "NOT DISCLOSED": "未公开", "UNDISCLOSED": "未公开", "NAME": "名称"},
+}
+MEMBERS = {"en": {"lead_only": "lead-only", "all_members": "all-members"}, "ko": {"lead_only": "리드만 명시하는", "all_members": "전원을 명시하는"}}
+
+
+def _scrubbed(text: Column, language: str) -> Column:
+    own = IDENTITY.get(language, IDENTITY["en"]).replace("$", r"\$")
+    for p in (r"[Tt]he\s+identity[- _]facts", r"제공된\s+<?identity[- _]facts>?", r"(?i)<?/?identity[- _]facts>?"):
+        text = F.regexp_replace(text, p, own)
+    for name, word in SECTIONS.get(language, SECTIONS["en"]).items():
+        if language == "ko":
+            text = F.regexp_replace(text, rf"'?{name}'?(?:\s*(항목|섹션|정보|section|entry|field))", f"{word} $1")
+            text = F.regexp_replace(text, rf"'?{name}'?\s*", word)
+        else:
+            text = F.regexp_replace(text, rf"'?(?<![A-Za-z]){name}(?![A-Za-z])'?", word)
+    for name, word in MEMBERS["ko" if language == "ko" else "en"].items():
+        text = F.regexp_replace(text, rf"{name}\s*(?:형식|form|format)?", word + (" 형식" if language == "ko" else " form"))
+    return F.regexp_replace(text, "  +", " ")
+
+
+def scrub_scaffold(text: Column, language: Column) -> Column:
+    """text with leaked scaffold terms replaced by words of its language (English for others)."""
+    out = None
+    for code in IDENTITY:
+        if code != "en":
+            out = F.when(language == code, _scrubbed(text, code)) if out is None else out.when(language == code, _scrubbed(text, code))
+    return out.otherwise(_scrubbed(text, "en"))

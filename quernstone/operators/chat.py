@@ -62,3 +62,66 @@ def loss_spans(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     counted = turns.withColumn("n", n).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return counted.filter("role = 'assistant'").select("conv_id", "turn", (F.col("before") + 1).alias("start"), (F.col("n") - 1).alias("n_trained"))
+
+
+def uniform_of(*parts: Column) -> Column:
+    """A number in [0, 1) from the hash of its parts, the same wherever it is computed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
+def truncated_reasoning(rows: DataFrame, low: float, high: float, least: int, seed: int = 0) -> DataFrame:
+    """rows (conv_id, messages: array<struct<turn, role, text, reasoning>>) with the reasoning of the trained turns cut to a budget of words.
+
+    Trained turns are the assistant's after the last user turn. Each one's budget is a share of its words drawn between `low` and `high` by the hash of (seed,
+    conv_id, place); reasoning under `least` words stays. Adds status per turn: cut, short, none or other, and whether anything was cut (any_cut); a
+    closing mark after cut reasoning carries no loss (closes is false)."""
+    last_user = F.coalesce(F.array_max(F.transform("messages", lambda m, i: F.when(m["role"] == "user", i))), F.lit(-1))
+
+    def one(m: Column, i: Column) -> Column:
+        words = F.filter(F.split(m["reasoning"], " "), lambda w: w != "")
+        n = F.size(words)
+        budget = F.greatest(F.lit(1), F.floor(n * (low + (high - low) * uniform_of(F.lit(str(seed)), F.col("conv_id").cast("string"), i.cast("string")))).cast("int"))
+        trained = (m["role"] == "assistant") & (i >= last_user)
+        status = F.when(~trained, "other").when(F.coalesce(m["reasoning"], F.lit("")) == "", "none").when(n < least, "short").otherwise("cut")
+        kept = F.when(status == "cut", F.array_join(F.slice(words, F.lit(1), budget), " ")).otherwise(m["reasoning"])
+        return F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["text"].alias("text"), kept.alias("reasoning"), status.alias("status"), F.when(status == "cut", budget).alias("budget"), (status != "cut").alias("closes"))
+
+    done = rows.withColumn("messages", F.transform("messages", one))
+    return done.withColumn("any_cut", F.exists("messages", lambda m: m["status"] == "cut"))
+
+
+def prefix_masked(source: Column, full: Column, size: int, ignore: int = -100) -> tuple[Column, Column]:
+    """(input ids, labels), both of size + 1: the prompt's ids carry no label, longer rows are cut at `size`, shorter ones padded, and the last id of a row that
+    was not cut is stored as -1 - id. Null where the prompt alone is `size` or longer."""
+    n = F.least(F.size(full), F.lit(size))
+    cut = F.slice(full, F.lit(1), n)
+    ended = F.when(F.size(full) <= size, F.transform(cut, lambda t, i: F.when(i == n - 1, -1 - t).otherwise(t))).otherwise(cut)
+    padded = F.concat(ended, F.array_repeat(F.lit(ignore), F.lit(size + 1) - n))
+    labels = F.transform(padded, lambda t, i: F.when(i < F.size(source), F.lit(ignore)).otherwise(t))
+    fits = F.size(source) < size
+    return F.when(fits, padded), F.when(fits, labels)
+
+
+def next_fit(rows: DataFrame, group: str, order: str, size: str, capacity: int) -> DataFrame:
+    """rows with bin (from 0 in each group): in order, into the last bin if there is room, else into a new one. Rows over the capacity count as full.
+
+    Order-dependent, so it is a fold over a group's sizes alone (group: a file or shard, which bounds it); rows join back by order."""
+    sizes = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.least(F.col(size), F.lit(capacity)).cast("long").alias("s")))).alias("all"))
+
+    def fold(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for key, items in zip(b[group], b["all"]):
+                at, fill, bins = 0, 0, np.empty(len(items), np.int64)
+                for k, item in enumerate(items):
+                    if fill and fill + item["s"] > capacity:
+                        at, fill = at + 1, 0
+                    fill += item["s"]
+                    bins[k] = at
+                yield pd.DataFrame({group: key, order: [x["o"] for x in items], "bin": bins})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    made = sizes.mapInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, bin long")
+    return rows.join(made, [group, order])

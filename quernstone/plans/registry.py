@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 #: Modules of quernstone.plans that register queries.
-MODULES: tuple[str, ...] = ("dedup", "filters", "aggregates", "windows", "sampling", "joins", "scalars", "domain", "streams", "files", "gates", "sft")
+MODULES: tuple[str, ...] = ("dedup", "filters", "aggregates", "windows", "sampling", "joins", "scalars", "domain", "streams", "files", "gates", "sft", "validators")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -39,12 +39,47 @@ def model_call(call: Callable[[list[str]], list[str]], batch: int = 32, retries:
     return ask
 
 
-def mean_metric(metric: Callable[[str], float]):
-    """A grouped aggregate: the mean of a per-document metric, ignoring -1; -1 if there is none."""
+def metric_mean(df: DataFrame, key: str, text: str, metric: Callable[[str], float]) -> DataFrame:
+    """key, mean: the mean of a per-document metric for each key, ignoring -1; -1 if there is none. The metric runs in Arrow batches, sums and counts add up."""
 
     @F.pandas_udf("double")
-    def mean(s: pd.Series) -> float:
-        v = [x for x in map(metric, s) if x != -1]
-        return float(sum(v) / len(v)) if v else -1.0
+    def value(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: metric(t or "")).astype(float)
 
-    return mean
+    v = df.select(key, value(text).alias("v"))
+    return v.groupBy(key).agg(F.coalesce(F.avg(F.when(F.col("v") != -1, F.col("v"))), F.lit(-1.0)).alias("mean"))
+
+
+class Registry:
+    """Named factories, with weights where one is to be drawn: back-ends, templates, tokenizers. A factory is called once in each worker that uses it."""
+
+    def __init__(self) -> None:
+        self.factories: dict[str, Callable] = {}
+        self.weights: dict[str, float] = {}
+
+    def add(self, name: str, factory: Callable, weight: float = 1.0) -> None:
+        if name in self.factories:
+            raise ValueError(f"{name} is registered twice")
+        self.factories[name], self.weights[name] = factory, weight
+
+    def make(self, name: str):
+        if name not in self.factories:
+            raise KeyError(f"{name} is not one of {', '.join(sorted(self.factories))}")
+        return self.factories[name]()
+
+    def shares(self) -> list[tuple[str, float]]:
+        """(name, share) by order of registration, shares summing to one."""
+        total = sum(self.weights.values())
+        return [(n, w / total) for n, w in self.weights.items()]
+
+    def mapped(self, name: str, kind: str = "string"):
+        """A column function that applies what the factory makes (a function from a list of values to a list) to Arrow batches."""
+        make = self.factories[name]
+
+        @F.pandas_udf(kind)
+        def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            call = make()
+            for s in batches:
+                yield pd.Series(call(s.tolist()), index=s.index)
+
+        return apply

@@ -113,7 +113,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     wide = docs.drop("n_lines", "n_deleted")
     found = later_copies(wide.select("doc_id", "text"), least)
     rows = wide.select(F.struct(*[F.col(f"`{c}`") for c in wide.columns]).alias("row"), *_document()).join(found, DOC, "left")
-    rows = rows.withColumn("lines", F.split(F.col("row")["text"], "\n"))
+    rows = rows.select("row", "runs", F.explode(F.array(F.split(F.col("row")["text"], "\n"))).alias("lines"))  # a generator: no filter above copies the split into each run
     gone = F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]), F.lit(0).cast("long"))
     text = F.when(F.col("runs").isNotNull() & F.col("lines").isNotNull(), F.array_join(_without(F.col("lines"), F.col("runs")), "\n")).otherwise(F.col("row")["text"])
     kept = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in wide.columns]

@@ -12,6 +12,16 @@ NOT_KEPT = "[^0-9a-zA-Z一-龥.， ,\\-。%《*》/•、&＆(—)（+）：？!
 HANGUL, HAN, KANA, LATIN = "[가-힣]", "[一-鿿]", "[぀-ヿ]", "[A-Za-z]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside lambdas an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def held(value: Column) -> Column:
+    """value, made by a generator of one row, which the optimizer doesn't copy into what refers to it (filters would compute it for every element)."""
+    return F.explode(F.array(value))
+
+
 def norm_space_lower(text: Column) -> Column:
     """Lower case, runs of ASCII white space as one space, ends trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), SPACES, " "))

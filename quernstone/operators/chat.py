@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quernstone.functions.text import let
+
 #: Structural marks that free text must not hold.
 SPECIAL = ("<|im_start|>", "<|im_end|>", "<think>", "</think>", "<tool_call>", "</tool_call>")
 
@@ -77,7 +79,7 @@ def truncated_reasoning(rows: DataFrame, low: float, high: float, least: int, se
     closing mark after cut reasoning carries no loss (closes is false)."""
     last_user = F.coalesce(F.array_max(F.transform("messages", lambda m, i: F.when(m["role"] == "user", i))), F.lit(-1))
 
-    def one(m: Column, i: Column) -> Column:
+    def one(m: Column, i: Column, last_user: Column) -> Column:
         words = F.filter(F.split(m["reasoning"], " "), lambda w: w != "")
         n = F.size(words)
         budget = F.greatest(F.lit(1), F.floor(n * (low + (high - low) * uniform_of(F.lit(str(seed)), F.col("conv_id").cast("string"), i.cast("string")))).cast("int"))
@@ -86,18 +88,19 @@ def truncated_reasoning(rows: DataFrame, low: float, high: float, least: int, se
         kept = F.when(status == "cut", F.array_join(F.slice(words, F.lit(1), budget), " ")).otherwise(m["reasoning"])
         return F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["text"].alias("text"), kept.alias("reasoning"), status.alias("status"), F.when(status == "cut", budget).alias("budget"), (status != "cut").alias("closes"))
 
-    done = rows.withColumn("messages", F.transform("messages", one))
+    done = rows.withColumn("messages", let(last_user, lambda last: F.transform("messages", lambda m, i: one(m, i, last))))
     return done.withColumn("any_cut", F.exists("messages", lambda m: m["status"] == "cut"))
 
 
 def prefix_masked(source: Column, full: Column, size: int, ignore: int = -100) -> tuple[Column, Column]:
     """(input ids, labels), both of size + 1: the prompt's ids carry no label, longer rows are cut at `size`, shorter ones padded, and the last id of a row that
     was not cut is stored as -1 - id. Null where the prompt alone is `size` or longer."""
-    n = F.least(F.size(full), F.lit(size))
-    cut = F.slice(full, F.lit(1), n)
-    ended = F.when(F.size(full) <= size, F.transform(cut, lambda t, i: F.when(i == n - 1, -1 - t).otherwise(t))).otherwise(cut)
-    padded = F.concat(ended, F.array_repeat(F.lit(ignore), F.lit(size + 1) - n))
-    labels = F.transform(padded, lambda t, i: F.when(i < F.size(source), F.lit(ignore)).otherwise(t))
+    def ended(whole: Column) -> Column:
+        cut = F.slice(whole, F.lit(1), F.lit(size))
+        return F.when(F.size(whole) == 0, whole).when(F.size(whole) <= size, F.concat(F.slice(whole, F.lit(1), F.greatest(F.size(whole) - 1, F.lit(0))), F.array(-1 - F.try_element_at(whole, F.lit(-1))))).otherwise(cut)
+
+    padded = let(full, lambda whole: F.concat(ended(whole), F.array_repeat(F.lit(ignore), F.greatest(F.lit(1), F.lit(size + 1) - F.size(whole)))))
+    labels = let(F.size(source), lambda n: F.transform(padded, lambda t, i: F.when(i < n, F.lit(ignore)).otherwise(t)))
     fits = F.size(source) < size
     return F.when(fits, padded), F.when(fits, labels)
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-from quernstone.functions.text import HAN, HANGUL, LATIN, first_reason, share
+from quernstone.functions.text import HAN, HANGUL, LATIN, first_reason, let, share
 
 # Patterns that must match what the gates are defined by.
 SPECIAL = r"<\|[A-Za-z_]+\|>|</?(?:tool_call|tool_response|think)>"
@@ -70,8 +70,11 @@ def longest_run(values: Column) -> Column:
 
 
 def four_grams(words: Column) -> Column:
-    at = F.when(F.size(words) >= 4, F.sequence(F.lit(0), F.size(words) - 4)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2), F.get(words, i + 3)))
+    def grams(w: Column) -> Column:
+        at = F.when(F.size(w) >= 4, F.sequence(F.lit(0), F.size(w) - 4)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)))
+
+    return let(words, grams)
 
 
 def degenerate(text: Column) -> Column:

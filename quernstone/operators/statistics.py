@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 import numpy as np
@@ -64,19 +66,29 @@ def coverage(spans: DataFrame) -> DataFrame:
     return rows.filter("n is not null").groupBy(state.alias("state")).agg(F.sum("n").alias("n"))
 
 
-def running(df: DataFrame, key: str, name: str, value: Column | None = None, group: Column | None = None) -> DataFrame:
-    """df with name: the sum of value (default: 1, that is the place) over all rows up to this one, by group (a small integer), then key (a long; nulls last).
+def _ranges(df: DataFrame, key: str, ranges: int) -> Column:
+    """The number of a row's range of key, ascending, the ranges about evenly filled whatever the keys are (bounds from an approximate quantile sketch); nulls
+    are last."""
+    bounds = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    table = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(bounds)) & (F.get(table, n + s - 1) <= F.col(key).cast("double")), n + s).otherwise(n)) if bounds else F.lit(0)
+    return F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(at)
+
+
+def running(df: DataFrame, key: str, name: str, value: Column | None = None, group: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """df with name: the sum of value (default: 1, that is the place) over all rows up to this one, by group (a small integer), then key (a number; nulls last);
+    for each value of the `within` columns by itself.
 
-    Rows are dealt to ranges of key; a running sum of the ranges' sums is carried into each, so only one row of each range meets in one task."""
-    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    width = (hi - lo) // 256 + 1
-    place = F.coalesce(F.expr(f"({key} - {lo}L) div {width}L"), F.lit(300)) + (F.lit(0) if group is None else group.cast("long") * 1000)
+    Rows are dealt to ranges of key, four for each shuffle partition; a running sum of the ranges' sums is carried into each, so only a row for each range meets in
+    one task, and a hot value of `within` is split like any other."""
+    ranges = min(4096, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = _ranges(df, key, ranges) + (F.lit(0) if group is None else group.cast("long") * 10_000)
     ranged = df.withColumn("__v", F.lit(1) if value is None else value).withColumn("__r", place)
-    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranged.groupBy("__r").agg(F.sum("__v").alias("s")).select("__r", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__c"))  # at most 258 rows a group
-    inside = Window.partitionBy("__r").orderBy(F.asc_nulls_last(key)).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumn("__s", F.sum("__v").over(inside)).join(F.broadcast(carried), "__r").withColumn(name, F.coalesce("__s", F.lit(0)) + F.col("__c")).drop("__v", "__r", "__s", "__c")
+    before = Window.partitionBy(*within).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy(*within, "__r").agg(F.sum("__v").alias("s")).select(*within, "__r", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__c"))
+    inside = Window.partitionBy(*within, "__r").orderBy(F.asc_nulls_last(key)).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("__s", F.sum("__v").over(inside)).join(carried, [*within, "__r"]).withColumn(name, F.coalesce("__s", F.lit(0)) + F.col("__c")).drop("__v", "__r", "__s", "__c")
 
 
 def rate_with_examples(df: DataFrame, key: str, bad: str, example: str, most: int) -> DataFrame:
@@ -92,12 +104,17 @@ def bootstrap(df: DataFrame, value: str, repeats: int, seed: int) -> DataFrame:
     """Percentile interval of the mean under Poisson resampling: n, mean, low, high. Every row adds itself to each repetition where it is."""
 
     def run(batches):
-        sums, counts = np.zeros(repeats), np.zeros(repeats)
+        sums, counts, cdf = np.zeros(repeats), np.zeros(repeats), np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(18)])
+        step = np.arange(1, repeats + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
         for b in batches:
-            for h, v in zip(b["h"], b[value]):
-                w = np.random.default_rng([seed, h & 0x7FFFFFFF]).poisson(1.0, repeats)
-                sums += w * v
-                counts += w
+            hashes, values = b["h"].to_numpy().view(np.uint64), b[value].to_numpy(float)
+            for i in range(0, len(b), 1024):
+                x = hashes[i : i + 1024, None] + step  # a counter-based generator: the same draws wherever the row is
+                for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+                w = np.searchsorted(cdf, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53).astype(float)
+                sums += values[i : i + 1024] @ w
+                counts += w.sum(axis=0)
         yield pd.DataFrame({"i": np.arange(repeats), "s": sums, "c": counts})
 
     rows = df.select(F.xxhash64(*df.columns).alias("h"), value).mapInPandas(run, "i int, s double, c double")

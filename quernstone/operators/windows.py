@@ -5,6 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Paragraphs folded at a time.
+BLOCK = 128
+
 
 def bucket_cap(df: DataFrame, keys: list[Column], order: str, cap: int) -> DataFrame:
     """The first `cap` rows of each bucket. Spark keeps only that many per task before the shuffle (window group limit), so a hot bucket stays small."""
@@ -81,14 +84,20 @@ def snap_to_grid(cu: Column, grid: int) -> Column:
 def paragraph_chunks(text: Column, limit: int) -> Column:
     """Paragraphs joined greedily up to `limit` characters; longer ones stand alone."""
     parts = F.filter(F.split(text, "\n"), lambda p: p != "")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+    start = lambda now, kind: F.struct(F.array().cast(kind).alias("done"), now.alias("now"))
+
+    def step(a: Column, p: Column) -> Column:
+        fits = (a["now"] != "") & (F.length(a["now"]) + 1 + F.length(p) <= limit)
+        ended = F.when(fits | (a["now"] == ""), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"])))
+        return F.struct(ended.alias("done"), F.when(fits, F.concat(a["now"], F.lit("\n"), p)).otherwise(p).alias("now"))
 
-    def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(last, F.lit("\n"), p)
-        fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(p) <= limit)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(p)))
+    def block(a: Column, ps: Column) -> Column:  # chunks of a block are gathered apart, so that few long arrays are copied
+        inner = F.aggregate(ps, start(a["now"], "array<string>"), step)
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(F.concat(a["done"], F.array(r["done"])).alias("done"), r["now"].alias("now"))), F.lit(0))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    whole = F.aggregate(blocks, start(F.lit(""), "array<array<string>>"), block)
+    return F.filter(F.get(F.transform(F.array(whole), lambda w: F.concat(F.flatten(w["done"]), F.array(w["now"]))), F.lit(0)), lambda c: c != "")
 
 
 def samples_by_iteration(spark, schedule: list[tuple[int, int]], horizon: int) -> DataFrame:

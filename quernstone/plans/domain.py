@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quernstone.operators import blend as B, chat, tokens as T
+from quernstone.operators import blend as B, chat, statistics, tokens as T
 from quernstone.plans.registry import query
+from quernstone.sources.scratch import folder
 from quernstone.sources.tables import table
 
 CAP = 4096
@@ -24,17 +25,18 @@ def l01(spark, sf):
     return T.tokenize(docs(spark, sf)).select("doc_id", F.size("tokens").cast("long").alias("n"))
 
 
-@query("l02_tokens_per_sentence", "SELECT doc_id, len(list_filter(string_split(text, '.'), lambda s: trim(s, ' ' || chr(10)) <> '')) AS sentences FROM documents")
+@query("l02_tokens_per_sentence", "WITH s AS (SELECT doc_id, list_filter(string_split(text, '.'), lambda s: trim(s, ' ' || chr(10)) <> '') AS s FROM documents), p AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS i FROM s) SELECT doc_id, i, len(list_filter(string_split_regex(s, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) AS n FROM p")
 def l02(spark, sf):
+    """A row for each sentence with its number of tokens."""
     s = F.filter(F.split("text", r"\."), lambda s: F.trim(F.translate(s, "\n", " ")) != "")
-    per = docs(spark, sf).select("doc_id", F.transform(s, lambda x: T.word_ids(x)).alias("t"))
-    return per.select("doc_id", F.size("t").cast("long").alias("sentences"))
+    per = docs(spark, sf).select("doc_id", F.posexplode(F.transform(s, lambda x: F.size(T.word_ids(x)))).alias("i", "n"))
+    return per.select("doc_id", F.col("i").cast("long").alias("i"), F.col("n").cast("long").alias("n"))
 
 
-@query("l03_blocks_before_splitting", "SELECT doc_id, CAST(ceil(n_chars / 1000000.0) AS BIGINT) AS blocks FROM documents WHERE n_chars > 0")
+@query("l03_blocks_before_splitting", "SELECT doc_id, b AS block, md5(substr(text, 1 + b * 1000000, 1000000)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, (n_chars - 1) // 1000000)) AS b FROM documents WHERE n_chars > 0)")
 def l03(spark, sf):
-    blocks = F.transform(F.expr("sequence(0, int((n_chars - 1) div 1000000))"), lambda i: F.substr("text", i * 1000000 + 1, F.lit(1000000)))
-    return docs(spark, sf).filter("n_chars > 0").select("doc_id", F.size(blocks).cast("long").alias("blocks"))
+    blocks = F.transform(F.expr("sequence(0, int((n_chars - 1) div 1000000))"), lambda i: F.md5(F.substr("text", i * 1000000 + 1, F.lit(1000000))))
+    return docs(spark, sf).filter("n_chars > 0").select("doc_id", F.posexplode(blocks).alias("block", "digest")).withColumn("block", F.col("block").cast("long"))
 
 
 @query("l04_truncated_tokens", "SELECT doc_id, least(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')), 500) AS n FROM documents")
@@ -61,30 +63,34 @@ def l07(spark, sf):
     return T.pieces(lengths(spark, sf), CAP)
 
 
-@query("l08_padded_bins", "SELECT 1024 AS size, true AS conserved")
+WORDS = "len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))"
+
+
+@query("l08_padded_bins", f"SELECT 1024 AS size, CAST(sum({WORDS}) AS BIGINT) AS tokens, count(*) FILTER ({WORDS} > 0) AS documents FROM documents")
 def l08(spark, sf):
-    """Every bin has the capacity's length, and what is not padding adds up to all tokens."""
-    t = T.tokenize(docs(spark, sf))
-    made = T.pieces(t.select("doc_id", F.size("tokens").alias("n")), 1024)
-    bins = T.emit_bins(t, T.pack(made, 1024), 1024)
-    real = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, x: n + (x != 0).cast("int"))
-    total = t.agg(F.sum(F.size("tokens") - 1).alias("want"))
-    return bins.groupBy(F.size("tokens").alias("size")).agg(F.sum(real).alias("got")).crossJoin(F.broadcast(total)).select("size", (F.col("got") == F.col("want")).alias("conserved"))
+    """Every bin has the capacity's length; what is in the bins and isn't padding are all tokens, and the documents' ends are all there is of ends but padding."""
+    at = folder(spark)
+    T.tokenize(docs(spark, sf)).write.parquet(at)
+    t = spark.read.parquet(at)
+    packed = T.pack(T.pieces(t.select("doc_id", F.size("tokens").alias("n")), 1024), 1024)
+    kept = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, x: n + (x != 0).cast("int"))
+    bins = T.emit_bins(t, packed, 1024).groupBy(F.size("tokens").alias("size")).agg(F.sum(kept).alias("tokens"))
+    ids = t.agg(F.countDistinct("doc_id").alias("documents"))
+    return bins.crossJoin(F.broadcast(ids)).select("size", "tokens", "documents")  # a row
 
 
 @query("l09_baseline_truncations", f"WITH c AS (SELECT sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS b, source FROM documents) SELECT source, CAST(max(b) // {CAP} - count(*) FILTER (b % {CAP} = 0) AS BIGINT) AS cut FROM c GROUP BY source")
 def l09(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = docs(spark, sf).select("source", F.sum("n_chars").over(w).alias("b"))
+    c = statistics.running(docs(spark, sf).select("source", "doc_id", "n_chars"), "doc_id", "b", F.col("n_chars"), within=("source",))
     return c.groupBy("source").agg((F.floor(F.max("b") / CAP) - F.count_if(F.col("b") % CAP == 0)).cast("long").alias("cut"))
 
 
-@query("l10_post_verification", "SELECT true AS within, true AS complete, true AS near_bound")
+@query("l10_post_verification", f"SELECT sum(n_chars)::BIGINT AS tokens, CAST(sum((n_chars + {CAP} - 1) // {CAP}) AS BIGINT) AS pieces, CAST(sum(n_chars // {CAP}) AS BIGINT) AS full_pieces, true AS within, true AS near_bound FROM documents")
 def l10(spark, sf):
     made = T.pieces(lengths(spark, sf), CAP)
-    bins = T.pack(made, CAP).groupBy("bin").agg(F.sum("len").alias("fill"))
-    total = lengths(spark, sf).agg(F.sum("n").alias("want"))
-    return bins.agg(F.max("fill").alias("most"), F.sum("fill").alias("got"), F.count("*").alias("bins")).crossJoin(F.broadcast(total)).select((F.col("most") <= CAP).alias("within"), (F.col("got") == F.col("want")).alias("complete"), (F.col("bins") <= 1.05 * F.col("want") / CAP + 2).alias("near_bound"))
+    bins = T.pack(made, CAP).groupBy("bin").agg(F.sum("len").alias("fill"), F.count("*").alias("n"), F.count_if(F.col("len") == CAP).alias("full"))
+    whole = bins.agg(F.sum("fill").alias("tokens"), F.sum("n").alias("pieces"), F.sum("full").alias("full_pieces"), F.max("fill").alias("most"), F.count("*").alias("bins"))
+    return whole.select("tokens", "pieces", "full_pieces", (F.col("most") <= CAP).alias("within"), (F.col("bins") <= 1.05 * F.col("tokens") / CAP + 2).alias("near_bound"))
 
 
 def convs(spark, sf):
@@ -133,9 +139,16 @@ def l20(spark, sf):
     return sft(spark, sf).select("conv_id", "n", F.size("input_ids").alias("size"), F.size(F.filter("labels", lambda x: x != -100)).alias("labels"))
 
 
-@query("l23_contract_check", "SELECT '' AS reasons")
+@query("l23_contract_check", """WITH n AS (SELECT conv_id, sum(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))) AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id)
+    SELECT conv_id, CASE conv_id % 6 WHEN 1 THEN 'ids_length' WHEN 2 THEN 'labels_length' WHEN 3 THEN 'vocab;shift' WHEN 4 THEN 'tail_label' WHEN 5 THEN 'no_marker' ELSE '' END AS reasons FROM n WHERE n BETWEEN 1 AND 4096""")
 def l23(spark, sf):
-    return sft(spark, sf).select(T.contract_reasons(F.col("input_ids"), F.col("labels"), 4096, 1000).alias("reasons")).distinct()
+    """Bins that keep the contract and bins that are broken in one way each, by number."""
+    s, k = sft(spark, sf), F.col("conv_id") % 6
+    real = F.transform("input_ids", lambda t: F.when(t < 0, -1 - t).otherwise(t))
+    ids = F.when(k == 1, F.slice("input_ids", F.lit(1), F.lit(4095))).when(k == 3, F.concat(F.array(F.lit(5), F.lit(1000)), F.slice("input_ids", F.lit(3), F.lit(4094)))).when(k == 5, real).otherwise(F.col("input_ids"))
+    ids = F.when(k == 3, F.transform(ids, lambda t, i: F.when(i == 4095, -1).otherwise(t))).otherwise(ids)
+    labels = F.when(k == 2, F.slice("labels", F.lit(1), F.lit(4095))).when(k == 3, F.concat(F.array(F.lit(7)), F.array_repeat(F.lit(-100), F.lit(4095)))).when(k == 4, F.concat(F.slice("labels", F.lit(1), F.lit(4095)), F.array(F.lit(3)))).otherwise(F.col("labels"))
+    return s.select("conv_id", ids.alias("a"), labels.alias("b")).select("conv_id", T.contract_reasons(F.col("a"), F.col("b"), 4096, 1000).alias("reasons"))
 
 
 @query("l24_render_check", "SELECT conv_id, count(*) AS opens, count(*) AS closes FROM conversations GROUP BY conv_id")
@@ -144,17 +157,20 @@ def l24(spark, sf):
     return r.select("conv_id", F.regexp_count("r", F.lit(r"<\|im_start\|>")).cast("long").alias("opens"), F.regexp_count("r", F.lit(r"<\|im_end\|>")).cast("long").alias("closes"))
 
 
-@query("l25_end_remap", "SELECT true AS ok, count(*) AS n FROM documents")
+@query("l25_end_remap", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 0 END AS last, {WORDS} AS before, true AS same FROM documents WHERE {WORDS} > 0")
 def l25(spark, sf):
-    t = T.tokenize(docs(spark, sf)).select("tokens", T.remap_end(F.col("tokens"), 0, 7).alias("new"))
-    same = (F.element_at("new", -1) == 7) & (F.slice("new", F.lit(1), F.size("new") - 1) == F.slice("tokens", F.lit(1), F.size("tokens") - 1))
-    return t.agg(F.bool_and(same).alias("ok"), F.count("*").alias("n"))
+    """The end of every second document is remapped; for the others the old id is another one, and they stay. What stands before the end is unchanged."""
+    t = T.tokenize(docs(spark, sf)).select("doc_id", "tokens", F.when(F.col("doc_id") % 2 == 0, T.remap_end(F.col("tokens"), 0, 7)).otherwise(T.remap_end(F.col("tokens"), 5, 7)).alias("new"))
+    head = lambda c: F.slice(c, F.lit(1), F.size(c) - 1)
+    return t.select("doc_id", F.element_at("new", -1).alias("last"), (F.size("new") - 1).cast("long").alias("before"), (head("new") == head("tokens")).alias("same"))
 
 
-@query("l26_internal_end_scan", "SELECT count(*) AS docs, 0 AS contaminated FROM documents")
+@query("l26_internal_end_scan", "WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w) % 7) AS tokens FROM documents), p AS (SELECT doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM t), e AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM p), c AS (SELECT doc_id, count(*) FILTER (t = 0 AND nxt <> 0) AS ends, count(*) FILTER (t = 0 AND nxt <> 0 AND i % 16 <> 0) AS off FROM e GROUP BY doc_id) SELECT count(*) AS docs, count(*) FILTER (ends > 0) AS contaminated, CAST(sum(ends) AS BIGINT) AS ends, CAST(sum(off) AS BIGINT) AS off_grid FROM c")
 def l26(spark, sf):
-    n, _ = T.internal_eod(F.col("tokens"), 16)
-    return T.tokenize(docs(spark, sf)).agg(F.count("*").alias("docs"), F.count_if(n > 0).cast("int").alias("contaminated"))
+    """Ends inside documents (words whose length is a multiple of seven stand for them), and how many are off the grid."""
+    n, off = T.internal_eod(F.col("tokens"), 16)
+    t = docs(spark, sf).select(F.transform(F.split("text", " "), lambda w: F.length(w) % 7).alias("tokens")).select(F.when(F.size("tokens") > 0, n).alias("n"), off.alias("off"))
+    return t.agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 0).alias("contaminated"), F.sum("n").alias("ends"), F.sum("off").alias("off_grid"))
 
 
 @query("l27_batch_masks", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, CAST(role = 'assistant' AS INT) AS mask FROM conversations")
@@ -242,22 +258,27 @@ def l38(spark, sf):
     return rows.select("i", "r", B.parity_shard(F.col("i"), 4, F.col("r")).alias("parity"), B.block_shard(F.col("i"), 8, 4, F.col("r")).alias("cyclic"))
 
 
-@query("l41_prefix_extraction", "SELECT conv_id, cut, cut AS n FROM (SELECT conv_id, unnest(generate_series(1, count(*))) AS cut FROM conversations GROUP BY conv_id)")
+@query("l41_prefix_extraction", "SELECT conv_id, row_number() OVER w AS cut, md5(string_agg(role || ': ' || text, chr(10)) OVER w) AS digest FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
 def l41(spark, sf):
-    c = convs(spark, sf).select("conv_id", F.explode(F.expr("sequence(1L, bigint(size(messages)))")).alias("cut"), "messages")
-    return c.select("conv_id", "cut", F.size(F.expr("slice(messages, 1, int(cut))")).cast("long").alias("n"))
+    c = convs(spark, sf).select("conv_id", F.explode(F.expr("sequence(1, size(messages))")).alias("cut"), "messages")
+    prefix = F.array_join(F.transform(F.slice("messages", F.lit(1), F.col("cut")), lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
+    return c.select("conv_id", F.col("cut").cast("long").alias("cut"), F.md5(prefix).alias("digest"))
 
 
-@query("l42_frame_sampling", "SELECT doc_id, len(generate_series(0, n_chars - 1, 60)) AS frames FROM documents WHERE n_chars > 0")
+@query("l42_frame_sampling", "SELECT doc_id, f AS frame, unicode(substr(text, f + 1, 1)) AS seen FROM (SELECT doc_id, text, unnest(generate_series(0, n_chars - 1, 60)) AS f FROM documents WHERE n_chars > 0)")
 def l42(spark, sf):
-    return docs(spark, sf).filter("n_chars > 0").select("doc_id", F.size(F.expr("sequence(0L, n_chars - 1, 60L)")).cast("long").alias("frames"))
+    """Every sixtieth character stands for a sampled frame."""
+    frames = docs(spark, sf).filter("n_chars > 0").select("doc_id", F.explode(F.transform(F.expr("sequence(0L, n_chars - 1, 60L)"), lambda f: F.struct(f.alias("frame"), F.substr("text", (f + 1).cast("int"), F.lit(1)).alias("c")))).alias("f"))
+    return frames.select("doc_id", "f.frame", F.conv(F.hex(F.encode("f.c", "UTF-32")), 16, 10).cast("int").alias("seen"))
 
 
-@query("l44_record_assembly", "SELECT doc_id, CAST(('0x' || right(sha256(CAST(doc_id AS VARCHAR)), 1))::BIGINT % 4 AS BIGINT) AS variant, CASE WHEN n_chars > 1000 THEN 3 ELSE 2 END AS n FROM documents")
+@query("l44_record_assembly", "SELECT doc_id, CAST(('0x' || right(sha256(CAST(doc_id AS VARCHAR)), 1))::BIGINT % 4 AS BIGINT) AS variant, CASE WHEN n_chars > 1000 THEN 3 ELSE 2 END AS n, md5(CASE WHEN n_chars > 1000 THEN 'system=long;' ELSE '' END || 'user=' || doc_id || ';assistant=' || text) AS digest FROM documents")
 def l44(spark, sf):
     d = F.col("doc_id").cast("string")
-    m = F.array_compact(F.array(F.when(F.col("n_chars") > 1000, F.struct(F.lit("system").alias("role"), F.lit("long").alias("text"))), F.struct(F.lit("user").alias("role"), d.alias("text")), F.struct(F.lit("assistant").alias("role"), F.left("text", F.lit(9)).alias("text"))))
-    return docs(spark, sf).select("doc_id", (F.conv(F.right(F.sha2(d, 256), F.lit(1)), 16, 10).cast("long") % 4).alias("variant"), F.size(m).alias("n"))
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    m = F.array_compact(F.array(F.when(F.col("n_chars") > 1000, turn("system", F.lit("long"))), turn("user", d), turn("assistant", F.col("text"))))
+    rows = docs(spark, sf).select("doc_id", (F.conv(F.right(F.sha2(d, 256), F.lit(1)), 16, 10).cast("long") % 4).alias("variant"), m.alias("m"))
+    return rows.select("doc_id", "variant", F.size("m").alias("n"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("="), x["text"])), ";")).alias("digest"))
 
 
 @query("l45_deferred_verdict", "SELECT doc_id, CASE WHEN toxic = 1 THEN quality ELSE toxic END AS winner, CASE WHEN toxic = 1 THEN toxic ELSE quality END AS loser FROM labels")

@@ -84,15 +84,15 @@ def x10(spark, sf):
     return thinking(spark, sf).select("conv_id", "turn", F.when(F.contains(t, F.lit("</think>")), F.length(F.substring_index(t, "</think>", 1))).otherwise(0).cast("long").alias("thought"))
 
 
-@query("x11_inline_think", "SELECT conv_id, turn, regexp_extract('<think> ' || role || ' </think> ' || left(text, 20), '(?s)^\\s*<think>\\s*(.*?)\\s*</think>\\s*', 1) AS thought FROM conversations")
+@query("x11_inline_think", "SELECT conv_id, turn, regexp_extract('<think> ' || role || ' </think> ' || text, '(?s)^\\s*<think>\\s*(.*?)\\s*</think>\\s*', 1) AS thought FROM conversations")
 def x11(spark, sf):
-    t = F.concat(F.lit("<think> "), "role", F.lit(" </think> "), F.left("text", F.lit(20)))
+    t = F.concat(F.lit("<think> "), "role", F.lit(" </think> "), "text")
     return turns(spark, sf).select("conv_id", "turn", F.regexp_extract(t, r"(?s)^\s*<think>\s*(.*?)\s*</think>\s*", 1).alias("thought"))
 
 
-@query("x12_multiple_choice", "SELECT conv_id, turn, coalesce(upper(regexp_extract_all('Answer: (' || substr('ABCDE', 1 + turn % 5, 1) || ') ' || left(text, 5), '(?i)answer(?: is)?:?\\s*\\(?([ABCD])\\b', 1)[-1]), NULL) AS choice FROM conversations")
+@query("x12_multiple_choice", "SELECT conv_id, turn, coalesce(upper(regexp_extract_all('Answer: (' || substr('ABCDE', 1 + turn % 5, 1) || ') ' || text, '(?i)answer(?: is)?:?\\s*\\(?([ABCD])\\b', 1)[-1]), NULL) AS choice FROM conversations")
 def x12(spark, sf):
-    t = F.concat(F.lit("Answer: ("), F.substr(F.lit("ABCDE"), (1 + F.col("turn") % 5).cast("int"), F.lit(1)), F.lit(") "), F.left("text", F.lit(5)))
+    t = F.concat(F.lit("Answer: ("), F.substr(F.lit("ABCDE"), (1 + F.col("turn") % 5).cast("int"), F.lit(1)), F.lit(") "), "text")
     return turns(spark, sf).select("conv_id", "turn", A.multiple_choice(t).alias("choice"))
 
 

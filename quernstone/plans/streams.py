@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -130,9 +128,9 @@ def p05(spark, sf):
     return validated(table(spark, sf, "documents").select("doc_id", "text"), lambda d: d.assign(ok=d["text"].str.len() > 200, words=d["text"].str.split().str.len()), "ok boolean, words long").select("doc_id", "ok", "words")
 
 
-@query("p06_model_call_hook", "SELECT doc_id, md5(upper(text)) AS reply FROM documents WHERE lang = 'en'")
+@query("p06_model_call_hook", "SELECT doc_id, md5('> ' || text) AS reply FROM documents WHERE lang = 'en'")
 def p06(spark, sf):
-    """A model that answers in capitals, called in batches with retries: its first call in every process fails."""
+    """A model that quotes its prompt, called in batches with retries: its first call in every process fails."""
     d = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
     failed: list[bool] = []
 
@@ -140,9 +138,9 @@ def p06(spark, sf):
         if not failed:
             failed.append(True)
             raise ConnectionError("first call")
-        return [re.sub("[a-z]+", lambda m: m[0].upper(), p) for p in prompts]
+        return [f"> {p}" for p in prompts]
 
-    return d.select("doc_id", F.md5(F.upper(model_call(model)("text"))).alias("reply"))
+    return d.select("doc_id", F.md5(model_call(model)("text")).alias("reply"))
 
 
 @query("p01_chunked_map", "SELECT doc_id, length(text) % 7 AS r FROM documents")

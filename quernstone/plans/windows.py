@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from quernstone.functions.text import round_up
-from quernstone.operators import chat, windows as Wn
+from quernstone.functions.text import held, round_up
+from quernstone.operators import chat, statistics, windows as Wn
 from quernstone.plans.registry import query
 from quernstone.sources.tables import table
 
@@ -61,7 +61,7 @@ TOKENS = "t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w:
 
 def tokens(spark, sf):
     """Small token arrays derived from words, so that segment operators have an oracle: the length of a word modulo 7; 0 ends a segment."""
-    return docs(spark, sf).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w) % 7).alias("tokens"))
+    return docs(spark, sf).select("doc_id", held(F.transform(F.split("text", " "), lambda w: F.length(w) % 7)).alias("tokens"))
 
 
 @query("w06_run_ends", f"WITH {TOKENS}, p AS (SELECT doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM t), e AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM p) SELECT doc_id, count(*) AS ends, sum(CAST(i % 4 = 0 AS INT)) AS on_grid FROM e WHERE t = 0 AND nxt IS NOT NULL AND nxt <> 0 GROUP BY doc_id")
@@ -104,8 +104,9 @@ def segment_counts(t):
 
 @query("w10_cumulative_offsets", "SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS end_offset FROM documents")
 def w10(spark, sf):
-    """Cumulative per source; across a corpus, per-range sums are carried over as in statistics.coverage."""
-    return docs(spark, sf).select("source", "doc_id", F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)).alias("end_offset"))
+    """Cumulative per source; a source of any size is split into ranges of doc_id."""
+    d = statistics.running(docs(spark, sf).select("source", "doc_id", "n_chars"), "doc_id", "end_offset", F.col("n_chars"), within=("source",))
+    return d.select("source", "doc_id", "end_offset")
 
 
 @query("w11_merge_pad_segments")
@@ -128,13 +129,13 @@ def w13(spark, sf):
 @query("w14_three_equal_lines", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, len(list_filter(generate_series(1, len(l) - 2), lambda i: l[i] = l[i+1] AND l[i] = l[i+2])) > 0 AS repeated FROM l")
 def w14(spark, sf):
     l = F.split("text", "\n")  # noqa: E741
-    d = docs(spark, sf).select("doc_id", l.alias("l"))
+    d = docs(spark, sf).select("doc_id", held(l).alias("l"))
     return d.select("doc_id", F.coalesce(F.when(F.size("l") >= 3, F.exists(F.expr("sequence(0, size(l) - 3)"), lambda i: (F.get("l", i) == F.get("l", i + 1)) & (F.get("l", i) == F.get("l", i + 2)))), F.lit(False)).alias("repeated"))
 
 
 @query("w15_sliding_four_grams", "WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations) SELECT conv_id, turn, len(list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3]))) AS n FROM w WHERE len(w) >= 4")
 def w15(spark, sf):
-    w = turns(spark, sf).select("conv_id", "turn", F.split("text", " ").alias("w")).filter(F.size("w") >= 4)
+    w = turns(spark, sf).select("conv_id", "turn", held(F.split("text", " ")).alias("w")).filter(F.size("w") >= 4)
     grams = F.transform(F.expr("sequence(0, size(w) - 4)"), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2), F.get("w", i + 3)))
     return w.select("conv_id", "turn", F.size(F.array_distinct(grams)).cast("long").alias("n"))
 

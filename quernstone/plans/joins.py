@@ -176,11 +176,13 @@ def o19(spark, sf):
     return found.withColumn("k", F.row_number().over(w)).filter("k <= 3").select("query_id", "doc_id")
 
 
-@query("j18_graph_walk")
+@query("j18_graph_walk", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey % 2) % 997 AS dst FROM orders), s AS (SELECT src, min(dst) AS dst FROM e GROUP BY src HAVING count(*) = 1),
+    p AS (SELECT c_custkey AS seed, c_custkey AS node, [c_custkey] AS path, 0 AS depth FROM customer UNION ALL SELECT seed, s.dst, list_append(path, s.dst), depth + 1 FROM p JOIN s ON p.node = s.src WHERE depth < 4 AND NOT list_contains(path, s.dst))
+    SELECT node, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth DESC) AS r FROM p) WHERE r = 1""")
 def j18(spark, sf):
     edges = t(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.pmod(F.col("o_custkey") * 7 + F.col("o_orderkey") % 2, F.lit(997)).alias("dst")).distinct()
     seeds = t(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    return retrieval.walk(edges, seeds, 4)
+    return retrieval.walk(edges, seeds, 4).select("node", F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
 
 
 @query("j19_paired_join", "SELECT a.event_type, avg(a.v - b.v) AS gain FROM (SELECT user_id, event_type, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY ALL) a JOIN (SELECT user_id, event_type, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY ALL) b ON a.user_id = b.user_id AND a.event_type = b.event_type GROUP BY a.event_type")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import scrub_scaffold
-from quernstone.operators import chat, intervals, statistics, tools as T
+from quernstone.operators import chat, intervals, media, statistics, tools as T
 from quernstone.plans.registry import query
 from quernstone.sources.scratch import folder
 from quernstone.sources.tables import table
@@ -149,3 +149,14 @@ def l43(spark, sf):
     return spark.read.schema("doc_id long, n_chars long, method string").json(at).groupBy("method").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+
+
+@query("l40_media_batches", """WITH p AS (SELECT doc_id, n_chars, doc_id // 16 AS batch, 14 + n_chars % 3000 AS h, 28 + doc_id * 37 % 2000 AS w FROM documents), r AS (SELECT *, round_even(h / 28, 0) * 28 AS a, round_even(w / 28, 0) * 28 AS b, h >= 28 AND w >= 28 AND greatest(h, w) <= 200 * least(h, w) AS ok FROM p)
+    SELECT doc_id, max(n_chars) OVER (PARTITION BY batch) - n_chars AS padding,
+    CASE WHEN NOT ok THEN NULL WHEN a * b > 1003520 THEN CAST(floor(h / sqrt(h * w / 1003520.0::DOUBLE) / 28) * 28 AS BIGINT) WHEN a * b < 3136 THEN CAST(ceil(h * sqrt(3136.0::DOUBLE / (h * w)) / 28) * 28 AS BIGINT) ELSE CAST(a AS BIGINT) END AS height,
+    CASE WHEN NOT ok THEN NULL WHEN a * b > 1003520 THEN CAST(floor(w / sqrt(h * w / 1003520.0::DOUBLE) / 28) * 28 AS BIGINT) WHEN a * b < 3136 THEN CAST(ceil(w * sqrt(3136.0::DOUBLE / (h * w)) / 28) * 28 AS BIGINT) ELSE CAST(b AS BIGINT) END AS width FROM r""")
+def l40(spark, sf):
+    """Pictures with sides made from a document's numbers, resized to patches; texts padded to the longest of a batch of 16."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 16).alias("batch"), (14 + F.col("n_chars") % 3000).alias("h"), (28 + F.col("doc_id") * 37 % 2000).alias("w"))
+    size = media.resized(F.col("h"), F.col("w"))
+    return media.padded(d, "batch", "n_chars").select("doc_id", "padding", size["height"].alias("height"), size["width"].alias("width"))

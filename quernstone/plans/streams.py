@@ -120,7 +120,7 @@ def k12(spark, sf):
     return files.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").filter("quality = 1"), "doc_id")
 
 
-@query("p05_plug_in_validator")
+@query("p05_plug_in_validator", "SELECT doc_id, length(text) > 200 AS ok, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS words FROM documents")
 def p05(spark, sf):
     """A callable on frames that adds columns of validity."""
     from quernstone.functions.plugins import validated

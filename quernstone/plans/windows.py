@@ -164,7 +164,13 @@ def repeated_pattern(t):
     return t.select("doc_id", F.coalesce(F.when(F.size("tokens") >= 6, found), F.lit(False)).alias("repeated"))
 
 
-@query("w19_passage_packing")
+@query(
+    "w19_passage_packing",
+    """WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents),
+    r AS (SELECT doc_id, 1 AS i, length(p[1])::BIGINT AS cur, 0::BIGINT AS n FROM p WHERE len(p) > 0 UNION ALL
+    SELECT r.doc_id, i + 1, CASE WHEN cur + 1 + length(p[i + 1]) <= 700 THEN cur + 1 + length(p[i + 1]) ELSE length(p[i + 1]) END, CASE WHEN cur + 1 + length(p[i + 1]) <= 700 THEN n ELSE n + 1 END FROM r JOIN p ON r.doc_id = p.doc_id WHERE i < len(p))
+    SELECT doc_id || '#' || n AS passage_id, doc_id, max(cur) AS length FROM r GROUP BY doc_id, n""",
+)
 def w19(spark, sf):
     d = docs(spark, sf).select("doc_id", F.posexplode(Wn.paragraph_chunks(F.col("text"), 700)).alias("n", "passage"))
     return d.select(F.concat_ws("#", "doc_id", "n").alias("passage_id"), "doc_id", F.length("passage").alias("length"))

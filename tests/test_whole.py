@@ -1,8 +1,14 @@
 """Whole-table queries against brute force."""
 
+import hashlib
+import json
+import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import __spark_entry__ as entry
+import pandas as pd
 from conftest import SF
 
 
@@ -89,3 +95,36 @@ def test_places_and_offsets_over_all_documents(spark):
     for d, _, n in rows:
         owner += [d] * n
     assert sorted(map(tuple, run(spark, "j13_ordinal_lookup_chain"))) == [(i, owner[i]) for i in range(0, len(owner), 1000)]
+
+
+def documents():
+    return pd.read_parquet(f"{SF}/documents.parquet")
+
+
+def nfkc(text):
+    t = re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", unicodedata.normalize("NFKC", text).lower()))
+    return t.strip()
+
+
+def test_nfkc_normalisation_and_dedup(spark):
+    d = documents()
+    want = {i: hashlib.md5(nfkc(t).encode()).hexdigest() for i, t in zip(d.doc_id, d.text)}
+    assert {r.doc_id: r.digest for r in run(spark, "x02_norm_nfkc")} == want
+    groups = {}
+    for i, t in zip(d.doc_id, d.text):
+        groups.setdefault(nfkc(t), []).append(i)
+    assert {(r.doc_id, r.n) for r in run(spark, "d02_nfkc_dedup")} == {(min(g), len(g)) for g in groups.values()}
+
+
+def test_hash_sample_of_a_length_band(spark):
+    d = documents()
+    want = {i for i, t in zip(d.doc_id, d.text) if len(t) >= 2000 or zlib.crc32(str(i).encode()) / 2**32 < 0.1}
+    assert {r.doc_id for r in run(spark, "f05_hash_sample_of_band")} == want
+
+
+def test_canonical_json(spark):
+    e = pd.read_parquet(f"{SF}/events.parquet").dropna(subset=["props"])
+    got = {r.event_id: r.props for r in run(spark, "x28_canonical_json")}
+    assert len(got) == len(e)
+    for i, p in zip(e.event_id, e.props):
+        assert got[i] == json.dumps(json.loads(p), sort_keys=True, ensure_ascii=False, separators=(",", ":")) or json.loads(got[i]) == json.loads(p) and list(json.loads(got[i])) == sorted(json.loads(p))

@@ -230,7 +230,7 @@ class Lines:
 
     def block(self, apart: bool) -> None:
         self.end()
-        self.apart = self.apart or apart
+        self.apart = self.apart or (apart and not self.fresh)  # nothing stands apart from its own margin
 
     def extend(self, lines: list[str]) -> None:
         for x in lines:

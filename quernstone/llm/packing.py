@@ -46,15 +46,14 @@ class ByteBpe:
         with open(tokenizer, encoding="utf-8") as f:
             self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         pattern = public_tokenizers.PATTERN
-        self.encode_special = tiktoken.Encoding("special", pat_str=pattern, mergeable_ranks=table, special_tokens=self.special).encode
-        self.encode = tiktoken.Encoding("any", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("any", pat_str=pattern, mergeable_ranks=table, special_tokens=self.special)
         self.encode_simple = tiktoken.Encoding("simple", pat_str=pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return packed_ids(self.encode_special(text, allowed_special="all"))
+            return packed_ids(self.encoding.encode(text, allowed_special="all"))
         spaced = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.replace("\n", "").isprintable()
-        return packed_ids(self.encode(text) if spaced else self.encode_simple(text))
+        return packed_ids(self.encoding.encode_ordinary(text) if spaced else self.encode_simple(text))
 
 
 def packed_ids(ids: list[int]) -> bytes:

@@ -68,3 +68,50 @@ def test_drawings_and_formulas_show_their_text():
     page += "<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>n0</annotation><annotation-xml><b>n1</b></annotation-xml></semantics></math> end</p><desc>shown</desc>"
     text = text_of(page)
     assert all(w in text for w in ("a", "label", "x=1", "end", "shown")) and not any(w in text for w in ("t0", "d0", "m0", "n0", "n1"))
+
+
+def made(rng, depth):
+    """(html, lines) of a random block: lines by the plainest rules, lists by prefixing what they hold, tables by padding."""
+    kind = rng.choice(["p", "div", "ul", "ol", "quote", "table"] if depth else ["p", "div"])
+    word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 6)))
+    if kind in ("p", "div"):
+        text = " ".join(word() for _ in range(rng.randint(1, 4)))
+        return f"<{kind}>{text}</{kind}>", [text], kind == "p"
+    if kind == "table":
+        rows = [[word() for _ in range(3)] for _ in range(rng.randint(1, 3))]
+        wide = [max(len(r[k]) for r in rows) for k in range(3)]
+        html = "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows)
+        return f"<table>{html}</table>", ["  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in rows], True
+    if kind == "quote":
+        html, lines, _ = body(rng, depth - 1)
+        return f"<blockquote>{html}</blockquote>", [("> " + x).rstrip() for x in lines], True
+    items, out = "", []
+    for k in range(rng.randint(1, 3)):
+        html, lines, _ = body(rng, depth - 1)
+        mark = f"{k + 1}. " if kind == "ol" else "- "
+        items += f"<li>{html}</li>"
+        out += [(mark if n == 0 else " " * len(mark)) + x if x else "" for n, x in enumerate(lines)]
+    return f"<{kind}>{items}</{kind}>", out, True
+
+
+def body(rng, depth):
+    html, lines, before = "", [], False
+    for k in range(rng.randint(1, 3)):
+        h, x, apart = made(rng, depth)
+        if lines and (apart or before):
+            lines.append("")
+        lines += x
+        html, before = html + h, apart
+    return html, lines, True
+
+
+def test_random_documents_against_a_plain_renderer():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(1500):
+        while True:
+            html, lines, _ = body(rng, 3)
+            if not re.search(r"<li>(?:<[a-z]+>)*<(?:ul|ol|table|blockquote)", html) and not re.search(r"</(?:p|div|blockquote|table|ul|ol)><(?:ul|ol)", html):
+                break  # lists inside items, and lists after blocks in items, have a rule of their own
+        assert text_of(html) == "\n".join(lines), html

@@ -59,3 +59,38 @@ def test_one_class_only(share):
     whole, nothing = (50.0, z.sum(axis=0), z.T @ z), (0.0, np.zeros(d), np.zeros((d, d)))
     s = Q.Discriminant({0: nothing, 1: whole} if share else {0: whole, 1: nothing}).score(z)
     assert np.isfinite(s).all()
+
+
+def test_scores_against_a_plain_version(spark):
+    """Statistics of every labelled text outside the fold, class moments by numpy, densities by the normal formula."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    d = docs.toPandas()
+    y = dict(zip(*labels.toPandas()[["doc_id", "quality"]].to_numpy().T.tolist()))
+    x = np.array([Q.statistics(t.encode()) for t in d.text])
+    learned = np.array([i in y and zlib.crc32(str(i).encode()) % 5 != 0 for i in d.doc_id])
+    of = np.array([y.get(i, -1) for i in d.doc_id])
+    cov, mean, n = {}, {}, {}
+    for c in (0, 1):
+        z = x[learned & (of == c)]
+        n[c], mean[c], cov[c] = len(z), z.mean(axis=0), np.cov(z.T, bias=True)
+    k, total = x.shape[1], n[0] + n[1]
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / total
+    pooled = (1 - Q.DIAGONAL) * pooled + Q.DIAGONAL * np.diag(np.diag(pooled)) + 1e-4 * np.eye(k)
+    density = []
+    for c in (0, 1):
+        own = Q.SHRINK + (1 - Q.SHRINK) * k / (n[c] + k)
+        s = (1 - own) * cov[c] + own * pooled
+        z = x - mean[c]
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) + np.linalg.slogdet(s)[1]))
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0] + np.log((n[1] + 1) / (n[0] + 1))) / Q.TEMPER, -700, 700)))
+    got = Q.scored(docs, labels).toPandas().set_index("doc_id").score
+    assert np.allclose(got.loc[d.doc_id].to_numpy(), want, atol=1e-6)
+
+
+def test_statistics_against_plain_counts():
+    text = "The cat, the DOG!\n\nthe cat 12 é $\nThe cat, the DOG!"
+    v = dict(zip(Q.FEATURES, Q.statistics(text.encode())))
+    words, raw = text.split(), text.encode()
+    assert np.isclose(v["log_words"], np.log1p(len(words))) and np.isclose(v["top_word"], np.sqrt(max(words.count(w) for w in words) / len(words)))
+    assert np.isclose(v["upper"], np.sqrt(sum(65 <= b < 91 for b in raw) / len(raw))) and np.isclose(v["digits"], np.sqrt(2 / len(raw))) and np.isclose(v["exclaims"], np.sqrt(2 / len(raw)))
+    assert np.isclose(v["lines"], np.log1p(3)) and np.isclose(v["repeated_lines"], np.sqrt(1 / 3)) and np.isclose(v["spaces"], np.sqrt(sum(b in b" \n" for b in raw) / len(raw)))

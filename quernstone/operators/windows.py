@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quernstone.sources.scratch import folder
+
 #: Paragraphs folded at a time.
 BLOCK = 128
 
@@ -15,23 +17,51 @@ def bucket_cap(df: DataFrame, keys: list[Column], order: str, cap: int) -> DataF
     return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= cap).drop("__n")
 
 
-def greedy_caps(df: DataFrame, key: str, order: str, first: str, second: str, cap: int) -> DataFrame:
-    """Rows in order, kept only if both of their buckets (key with first, key with second) have room; only kept rows fill buckets.
-
-    Depends on order, so it runs per key. Keys must bound their rows; add a finer column to the key where one may not."""
-    schema = df.schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        a, b, keep = {}, {}, []
-        for x, y in zip(rows[first], rows[second]):
-            ok = a.get(x, 0) < cap and b.get(y, 0) < cap
-            keep.append(ok)
-            if ok:
-                a[x], b[y] = a.get(x, 0) + 1, b.get(y, 0) + 1
-        return rows[keep]
-
-    return df.groupBy(key).applyInPandas(run, schema)
+def greedy_caps(df: DataFrame, key: str, order: str, first: str, second: str, cap: int, rounds: int = 8) -> DataFrame:
+    """Rows in order, kept only if both of their buckets (key with first, key with second) have room; only kept rows fill buckets. order is unique in a key.
+
+    What a row's turn depends on is settled in rounds over all keys at once: a row with fewer than `cap` rows before it that are not rejected, in both buckets,
+    is kept whatever becomes of those; a row with `cap` kept ones before it in a bucket is rejected. Only the first `cap` rows of a bucket leave a task (window group
+    limit), so hot buckets and keys stay small. What `rounds` leave open, chains of rows that wait for one another, is a fold per key over three narrow columns."""
+    spark, rows = df.sparkSession, df.select(F.col(key).alias("k"), F.col(order).alias("o"), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(n) for c, n in ((first, "a"), (second, "b"))])
+
+    def stored(x: DataFrame) -> DataFrame:
+        at = folder(spark, "caps")
+        x.write.parquet(at)
+        return spark.read.schema(x.schema).parquet(at)
+
+    def rank(x: DataFrame, bucket: str) -> DataFrame:
+        w = Window.partitionBy("k", bucket).orderBy("o")
+        return x.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap)
+
+    open_, kept = stored(rows), spark.createDataFrame([], rows.schema)
+    for _ in range(rounds):
+        alive = open_.unionByName(kept)
+        sure = rank(alive, "a").select("k", "o").join(rank(alive, "b").select("k", "o"), ["k", "o"])
+        kept = stored(alive.join(sure, ["k", "o"], "left_semi").unionByName(kept).distinct())
+        left = open_.join(kept, ["k", "o"], "left_anti")
+        for bucket in ("a", "b"):
+            full = rank(kept, bucket).filter(F.col("n") == cap).select("k", bucket, F.col("o").alias("last"))
+            left = left.join(full, ["k", bucket], "left").filter(F.col("last").isNull() | (F.col("o") < F.col("last"))).drop("last")
+        open_ = stored(left.select("k", "o", "a", "b"))
+        if open_.isEmpty():
+            break
+    else:
+        waiting = open_.select("k").distinct()
+        both = open_.withColumn("sure", F.lit(False)).unionByName(kept.join(waiting, "k", "left_semi").withColumn("sure", F.lit(True)))
+
+        def fold(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("o", kind="stable")
+            a, b, keep = {}, {}, []
+            for x, y in zip(group["a"], group["b"]):
+                ok = a.get(x, 0) < cap and b.get(y, 0) < cap
+                keep.append(ok)
+                if ok:
+                    a[x], b[y] = a.get(x, 0) + 1, b.get(y, 0) + 1
+            return group[keep][["k", "o", "a", "b"]]
+
+        kept = kept.unionByName(both.groupBy("k").applyInPandas(fold, rows.schema)).distinct()
+    return df.join(kept.select(F.col("k").alias(key), F.col("o").alias(order)), [key, order], "left_semi").select(*df.columns)
 
 
 def longest_run(df: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -148,3 +148,20 @@ def test_greedy_caps_follow_order(spark):
     rows = [(i, "k", a, b) for i, (a, b) in enumerate([("x", "1"), ("x", "2"), ("x", "3"), ("y", "1"), ("z", "1"), ("y", "2")])]
     got = W.greedy_caps(spark.createDataFrame(rows, "i int, key string, a string, b string"), "key", "i", "a", "b", 2)
     assert sorted(r.i for r in got.collect()) == [0, 1, 3, 5]
+
+
+def test_greedy_caps_against_the_plain_fold(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, f"k{i % 3}", rng.choice(["a", "b", "c", None]), str(rng.randrange(12))) for i in range(400)] + [(1000 + i, "chain", str(i // 2), str((i + 1) // 2)) for i in range(60)]
+    want, one, two = [], {}, {}
+    for i, k, a, b in rows:
+        if one.get((k, a), 0) < 3 and two.get((k, b), 0) < 3 if k != "chain" else one.get((k, a), 0) < 1 and two.get((k, b), 0) < 1:
+            want.append(i)
+            one[k, a], two[k, b] = one.get((k, a), 0) + 1, two.get((k, b), 0) + 1
+    df = spark.createDataFrame(rows, "i int, key string, a string, b string")
+    for rounds in (1, 8):
+        got = [r.i for r in W.greedy_caps(df.filter("key <> 'chain'"), "key", "i", "a", "b", 3, rounds).collect()]
+        got += [r.i for r in W.greedy_caps(df.filter("key = 'chain'"), "key", "i", "a", "b", 1, rounds).collect()]
+        assert sorted(got) == want

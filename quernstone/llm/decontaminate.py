@@ -17,7 +17,7 @@ trials with as many edits as are allowed reach the target recall, and trials tha
 there in MOST_REPEATS repetitions looks at all its windows; pieces that allow no edit are compared word by word.
 
 What is found is verified by edit distance between the whole item and the text around it. Items are taken in blocks of at most `block`, so what
-travels to the executors is bounded for each block; a pass over the texts serves one block."""
+travels to the executors is bounded for each block; a pass over the texts serves BLOCKS blocks, which bounds a worker's memory."""
 
 from __future__ import annotations
 
@@ -35,8 +35,10 @@ WORD = re.compile(r"\w+")
 SHARE, PIECE = 0.2, 64
 #: Words sampled in a repetition; repetitions after which a band looks at all windows; recall aimed at; random trials of it.
 SAMPLED, MOST_REPEATS, RECALL, TRIALS = 3, 96, 0.98, 300
-#: Words gathered before they are searched, so that memory is bounded however many texts a batch has.
-GATHER = 4_000_000
+#: Characters gathered before they are searched, so that memory is bounded however many texts a batch has (a longer text is searched by itself).
+GATHER = 16_000_000
+#: Blocks of items that a pass over the texts serves.
+BLOCKS = 4
 
 
 def words_of(text: str | None) -> list[str]:
@@ -261,25 +263,33 @@ def search(index: Index, docs: list[tuple[int, int, np.ndarray]]) -> Iterator[tu
 RESULT = "doc_id long, item_id long, edits int, item_words int, end_word long"
 
 
-def _indexes(benchmark: DataFrame, share: float, block: int) -> list:
-    """A broadcast Index for each block of at most about `block` items."""
+def _indexes(benchmark: DataFrame, share: float, block: int) -> list[list]:
+    """Broadcast Indexes, each of at most about `block` items, in groups of BLOCKS for a pass."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = -(-items.count() // block)
     parts = [items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)]
-    return [benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in p.collect()], share)) for p in parts]  # a block each
+    made = [benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in p.collect()], share)) for p in parts]  # a block each
+    return [made[k : k + BLOCKS] for k in range(0, len(made), BLOCKS)]
 
 
-def _searched(index: Index, texts: Iterator[tuple[int, str | None]]) -> Iterator[list[tuple]]:
-    """Results of search() for (number, text), some texts at a time."""
-    waiting, size = [], 0
+def _searched(indexes: list, texts: Iterator[tuple[int, str | None]]) -> Iterator[list[tuple]]:
+    """Results of search() for (number, text) in each of the (broadcast) indexes, some texts at a time."""
+    waiting: list[tuple[int, str | None]] = []
+
+    def found() -> Iterator[list[tuple]]:
+        for index in indexes:
+            if index.value.sequences:
+                yield list(search(index.value, [(n, n, index.value.encode(t)) for n, t in waiting]))
+
+    size = 0
     for n, text in texts:
-        waiting.append((n, n, index.encode(text)))
-        size += len(waiting[-1][2])
+        waiting.append((n, text))
+        size += len(text or "")
         if size >= GATHER:
-            yield list(search(index, waiting))
+            yield from found()
             waiting, size = [], 0
-    if waiting and index.sequences:
-        yield list(search(index, waiting))
+    if waiting:
+        yield from found()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = 20_000) -> DataFrame:
@@ -289,9 +299,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: in
     the text for each piece. Rows repeated: a row each. Ties: the first best place. Empty tables: empty result. Null doc_id: reported as null. Other
     columns are ignored."""
     out = None
-    for index in _indexes(benchmark, share, block):
+    for some in _indexes(benchmark, share, block):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             ids: list[int | None] = []
 
             def texts() -> Iterator[tuple[int, str | None]]:
@@ -300,7 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: in
                         ids.append(doc_id)
                         yield len(ids) - 1, text.as_py()
 
-            for rows in _searched(index.value, texts()):
+            for rows in _searched(some, texts()):
                 columns = list(zip(*[(ids[n], *rest) for n, *rest in rows])) if rows else [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "edits", "item_words", "end_word"])
@@ -310,13 +320,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: in
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def _leaky(index):
-    """A column function: whether an item of the (broadcast) index leaks into a text."""
+def _leaky(indexes: list):
+    """A column function: whether an item of the (broadcast) indexes leaks into a text."""
 
     @F.arrow_udf("boolean")
     def leaky(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)
-        for rows in _searched(index.value, ((n, t.as_py()) for n, t in enumerate(texts))):
+        for rows in _searched(indexes, ((n, t.as_py()) for n, t in enumerate(texts))):
             out[[r[0] for r in rows]] = True
         return pa.array(out)
 
@@ -327,6 +337,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, b
     """docs without the rows that an item leaks into; columns unchanged, whatever their names.
 
     Each row is judged by its own text where it is read (no join, no shuffle), so null and repeated ids need no rule. Null or empty text: stays."""
-    for index in _indexes(benchmark, share, block):
-        docs = docs.filter(~_leaky(index)(F.col("text").cast("string")))
+    for some in _indexes(benchmark, share, block):
+        docs = docs.filter(~_leaky(some)(F.col("text").cast("string")))
     return docs

@@ -20,7 +20,8 @@ def judge_score(text: Column) -> Column:
     """[[x]], else x/10, clamped to 0..10; null if neither."""
     marked = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\[\[([0-9]+(?:\.[0-9]+)?)\]\]"), F.lit(1)), F.lit(-1))
     ratio = F.nullif(F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)\s*/\s*10", 1), F.lit(""))
-    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.coalesce(marked, ratio).cast("double")))
+    score = F.coalesce(marked, ratio).cast("double")
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)))
 
 
 @F.pandas_udf(StringType())

@@ -282,7 +282,11 @@ def l44(spark, sf):
     return rows.select("doc_id", "variant", F.size("m").alias("n"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("="), x["text"])), ";")).alias("digest"))
 
 
-@query("l45_deferred_verdict", "SELECT doc_id, CASE WHEN toxic = 1 THEN quality ELSE toxic END AS winner, CASE WHEN toxic = 1 THEN toxic ELSE quality END AS loser FROM labels")
+@query("l45_deferred_verdict", "WITH p AS (SELECT conv_id, coalesce(min_by(text, turn) FILTER (role = 'user'), '') AS a, coalesce(min_by(text, turn) FILTER (role = 'assistant'), '') AS b FROM conversations GROUP BY conv_id) SELECT conv_id, md5(CASE WHEN length(b) > length(a) THEN b ELSE a END) AS winner, md5(CASE WHEN length(b) > length(a) THEN a ELSE b END) AS loser, CASE WHEN length(b) > length(a) THEN 'B' ELSE 'A' END AS verdict FROM p")
 def l45(spark, sf):
-    b = F.col("toxic") == 1
-    return table(spark, sf, "labels").select("doc_id", F.when(b, F.col("quality")).otherwise(F.col("toxic")).alias("winner"), F.when(b, F.col("toxic")).otherwise(F.col("quality")).alias("loser"))
+    """Pairs kept in the order of generation; a later verdict of B (here: the longer answer) swaps winner and loser."""
+    first = lambda role: F.coalesce(F.get(F.transform(F.filter("messages", lambda m: m["role"] == role), lambda m: m["text"]), F.lit(0)), F.lit(""))
+    p = convs(spark, sf).select("conv_id", first("user").alias("a"), first("assistant").alias("b"))
+    p = p.withColumn("verdict", F.when(F.length("b") > F.length("a"), "B").otherwise("A"))
+    winner, loser = F.when(F.col("verdict") == "B", F.col("b")).otherwise(F.col("a")), F.when(F.col("verdict") == "B", F.col("a")).otherwise(F.col("b"))
+    return p.select("conv_id", F.md5(winner).alias("winner"), F.md5(loser).alias("loser"), "verdict")

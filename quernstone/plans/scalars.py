@@ -102,20 +102,26 @@ def x13(spark, sf):
     return docs(spark, sf).select("doc_id", F.try_element_at(found, F.lit(-1)).alias("number"))
 
 
-@query("x14_boxed", "SELECT doc_id, 'frac{' || doc_id || '}' AS answer FROM documents")
+@query("x14_boxed", "SELECT doc_id, md5('frac{' || replace(replace(text, '{', '('), '}', ')') || '}') AS answer FROM documents")
 def x14(spark, sf):
-    return docs(spark, sf).select("doc_id", A.boxed(F.concat(F.lit("so \\boxed{1} then \\boxed{frac{"), F.col("doc_id").cast("string"), F.lit("}} ok"))).alias("answer"))
+    """The last box, with braces inside, around a whole text."""
+    inner = F.translate("text", "{}", "()")
+    return docs(spark, sf).select("doc_id", F.md5(A.boxed(F.concat(F.lit("so \\boxed{1} then \\boxed{frac{"), inner, F.lit("}} ok")))).alias("answer"))
 
 
-@query("x15_latex_equivalence", "SELECT doc_id, true AS equal FROM documents")
+@query("x15_latex_equivalence", "SELECT doc_id, md5('(\\frac{' || doc_id || '}{3})') AS digest, doc_id % 4 <> 3 AS equal FROM documents")
 def x15(spark, sf):
+    """An answer in four spellings, of which the last has another value."""
     d = F.col("doc_id").cast("string")
-    return docs(spark, sf).select("doc_id", (A.latex_normal(F.concat(F.lit("\\left( \\dfrac{"), d, F.lit("}{3} \\right)"))) == A.latex_normal(F.concat(F.lit("(\\frac{"), d, F.lit("}{3})")))).alias("equal"))
+    other = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("\\left( \\dfrac{"), d, F.lit("}{3} \\right)"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("$(\\tfrac{"), d, F.lit("}{3})$"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("(\\frac{"), d, F.lit("}{3})\\!"))).otherwise(F.concat(F.lit("(\\frac{"), d, F.lit("}{4})")))
+    plain = A.latex_normal(F.concat(F.lit("(\\frac{"), d, F.lit("}{3})")))
+    return docs(spark, sf).select("doc_id", F.md5(plain).alias("digest"), (A.latex_normal(other) == plain).alias("equal"))
 
 
-@query("x16_loose_variants", "SELECT conv_id, turn, 8 AS n FROM conversations")
+@query("x16_loose_variants", "WITH l AS (SELECT conv_id, turn, text, string_split(text, chr(10)) AS l FROM conversations), c AS (SELECT conv_id, turn, [text, array_to_string(l[2:], chr(10)), array_to_string(l[1:len(l) - 1], chr(10)), array_to_string(l[2:len(l) - 1], chr(10))] AS c FROM l) SELECT conv_id, turn, md5(array_to_string(c || list_transform(c, lambda x: replace(x, '*', '')), chr(1))) AS digest FROM c")
 def x16(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", F.size(A.loose_variants(F.col("text"))).alias("n"))
+    """All eight readings."""
+    return turns(spark, sf).select("conv_id", "turn", F.md5(F.array_join(A.loose_variants(F.col("text")), "\x01")).alias("digest"))
 
 
 @query("x17_recall_of_references", "SELECT doc_id, len(list_filter(['the', 'que', 'der', 'zzz'], lambda r: contains(lower(text), r))) / 4 AS recall FROM documents")
@@ -124,11 +130,12 @@ def x17(spark, sf):
     return docs(spark, sf).select("doc_id", (F.size(F.filter(refs, lambda r: F.contains(F.lower("text"), r))) / 4).alias("recall"))
 
 
-@query("x18_judge_score", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN least(10.0, doc_id % 13)::DOUBLE ELSE (doc_id % 11)::DOUBLE END AS score FROM documents")
+@query("x18_judge_score", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN least(10.0, conv_id % 13)::DOUBLE WHEN turn % 3 = 1 THEN (conv_id % 11)::DOUBLE END AS score FROM conversations WHERE NOT regexp_matches(text, '\\[\\[|[0-9]\\s*/')")
 def x18(spark, sf):
-    d = F.col("doc_id")
-    t = F.when(d % 2 == 0, F.concat(F.lit("so [["), (d % 13).cast("string"), F.lit("]]"))).otherwise(F.concat(F.lit("I give "), (d % 11).cast("string"), F.lit("/10")))
-    return docs(spark, sf).select("doc_id", A.judge_score(t).alias("score"))
+    """A score after a whole reply: marked, as a fraction of ten, or none."""
+    k = F.col("turn") % 3
+    said = F.when(k == 0, F.concat("text", F.lit(" [["), (F.col("conv_id") % 13).cast("string"), F.lit("]]"))).when(k == 1, F.concat("text", F.lit(" I give "), (F.col("conv_id") % 11).cast("string"), F.lit("/10"))).otherwise(F.col("text"))
+    return turns(spark, sf).filter(~F.col("text").rlike(r"\[\[|[0-9]\s*/")).select("conv_id", "turn", A.judge_score(said).alias("score"))
 
 
 @query("x19_label_normalisation", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'JUDGE_FAIL' END AS label FROM documents")
@@ -249,10 +256,13 @@ def x42(spark, sf):
     return e.groupBy("user_id").agg(F.floor(F.unix_micros(F.max("ts")) / 1e6 - F.unix_micros(F.min("ts")) / 1e6).alias("seconds"))
 
 
-@query("x43_marker_restore", "SELECT doc_id, list_sum(list_transform([doc_id, -1 - doc_id, 5], lambda x: CASE WHEN x < 0 THEN -1 - x ELSE x END))::BIGINT AS total FROM documents")
+@query("x43_marker_restore", "SELECT doc_id, list_sum(list_transform(string_split(text, ' '), lambda w: length(w)))::BIGINT AS total, len(string_split(text, ' ')) AS marked FROM documents")
 def x43(spark, sf):
-    restored = F.transform(F.array(F.col("doc_id"), -1 - F.col("doc_id"), F.lit(5)), lambda x: F.when(x < 0, -1 - x).otherwise(x))
-    return docs(spark, sf).select("doc_id", F.aggregate(restored, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    """Lengths of words stand for ids; every id is stored as a marker and restored."""
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
+    d = docs(spark, sf).select("doc_id", F.transform(ids, lambda x: -1 - x).alias("stored"))
+    restored = F.transform("stored", lambda x: F.when(x < 0, -1 - x).otherwise(x))
+    return d.select("doc_id", F.aggregate(restored, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter("stored", lambda x: x < 0)).cast("long").alias("marked"))
 
 
 @query("x44_tool_calls", "SELECT doc_id, 'find' AS name, CAST(doc_id AS VARCHAR) AS q FROM documents")

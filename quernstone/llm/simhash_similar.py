@@ -161,7 +161,7 @@ def links(points: DataFrame, docs: DataFrame, cap: int = 2048) -> DataFrame:
     """Edges (a, b) between keys that connect what pairs of at least LEAST similarity connect. points: key, fp, buckets, row (a row key of docs with that set)."""
     total = points.count()
     close = components(fingerprint_links(points.select("fp").distinct())).withColumnRenamed("node", "fp")
-    close = points.select("key", "fp").join(close, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+    close = stored(points.select("key", "fp").join(close, "fp", "left").select("key", F.coalesce("root", "fp").alias("root")))
     near = close.groupBy("root").agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1")
     near = stored(grouped(close, near, ["root"], total))
     dealt = points.select("key", F.explode("buckets").alias("bucket"))
@@ -175,12 +175,12 @@ def links(points: DataFrame, docs: DataFrame, cap: int = 2048) -> DataFrame:
     first = compared(blocks.select("root", "part", "key").union(heads).distinct(), sets)
 
     joined = components(first).withColumnRenamed("node", "key")
-    open_ = met.join(joined, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    open_ = stored(met.join(joined, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")))
     several = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", "n")
-    open_ = grouped(open_, several, ["bucket"], 2 * BANDS * total).withColumn("k", F.ceil(F.col("n") / cap).cast("int")).withColumn("own", _part(F.col("n"), cap))
-    open_ = open_.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    second = compared(open_.select("key", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), sets)
-    discard(near, met, sets)
+    members = grouped(open_, several, ["bucket"], 2 * BANDS * total).withColumn("k", F.ceil(F.col("n") / cap).cast("int")).withColumn("own", _part(F.col("n"), cap))
+    members = members.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    second = compared(members.select("key", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), sets)
+    discard(close, near, met, open_, sets)
     return first.union(second)
 
 

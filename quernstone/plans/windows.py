@@ -109,10 +109,13 @@ def w10(spark, sf):
     return d.select("source", "doc_id", "end_offset")
 
 
-@query("w11_merge_pad_segments")
+@query("w11_merge_pad_segments", f"""WITH {TOKENS}, p AS (SELECT doc_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS i FROM t), q AS (SELECT *, i = 0 OR lag(t) OVER (PARTITION BY doc_id ORDER BY i) = 0 AS b FROM p),
+    s AS (SELECT *, sum(b::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM q), g AS (SELECT doc_id, k, min(i) AS start, max(i) + 1 AS stop, bool_and(t = 0) AS pad FROM s GROUP BY doc_id, k)
+    SELECT doc_id, array_to_string(list_append(list(start ORDER BY start) FILTER (start = 0 OR NOT pad), max(stop)), ',') AS cu FROM g GROUP BY doc_id""")
 def w11(spark, sf):
     t = tokens(spark, sf).withColumn("cu", Wn.boundaries(Wn.positions(F.col("tokens"), 0)))
-    return t.select("doc_id", Wn.merge_pad_segments(F.col("cu"), F.col("tokens"), 0).alias("cu"))
+    merged = t.select("doc_id", Wn.merge_pad_segments(F.col("cu"), F.col("tokens"), 0).alias("cu"))
+    return merged.select("doc_id", F.array_join(F.transform("cu", lambda c: c.cast("string")), ",").alias("cu"))
 
 
 @query("w12_snap_to_grid", "SELECT doc_id, CAST(sum(CASE WHEN x % 2 = 0 OR x = m THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM (SELECT doc_id, unnest(generate_series(0, n_chars % 16)) AS x, n_chars % 16 AS m FROM documents) GROUP BY doc_id")

@@ -13,7 +13,7 @@ cells that span rows SPANS at most take their place in later rows at a time. Wit
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,6 +33,8 @@ APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure arti
 BLOCK = APART | frozenset("html body div address aside center dd dt figcaption footer header hgroup legend li main nav optgroup option summary search menu dir caption tr".split())
 _LISTS = frozenset("ul ol menu dir dl".split())
 _TABLE = frozenset("table".split())
+_CELLS = frozenset("table td th".split())
+_TABLE_PARTS = _CELLS | frozenset("tr thead tbody tfoot body html".split())
 #: What a start tag closes, and the elements that it does not reach beyond.
 CLOSES = {
     "li": (frozenset(["li"]), _LISTS), "dt": (frozenset(["dt", "dd"]), _LISTS), "dd": (frozenset(["dt", "dd"]), _LISTS),
@@ -42,7 +44,10 @@ CLOSES = {
     "body": (frozenset(["head"]), frozenset()), "a": (frozenset(["a"]), frozenset(["table", "td", "th", "caption", "object"])),
 }
 _PARAGRAPH = (frozenset(["p"]), frozenset(["table", "td", "th", "caption", "button", "object"]))
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments, declarations, tags. A tag's quoted values may hold > (in values of 2,048 characters, among 400 parts); a tag with more, or with an open quote, ends at the first >.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']+|"[^"]{0,2048}"|"[^">]*"|'[^']{0,2048}'|'[^'>]*'){0,400})(?=>|\Z)|[^>]*)(?:>|\Z)""", re.S
+)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -73,29 +78,29 @@ def attributes(raw: str) -> dict[str, str]:
 def tree(html: str) -> Node:
     root = Node("html")
     stack, pos, n = [root], 0, len(html)
-    opened: dict[str, int] = {}  # how many of a tag are open
+    opened: dict[str, list[int]] = {}  # the places of a tag's open elements in the stack
 
     def cut(k: int) -> None:
-        for x in stack[k:]:
-            opened[x.tag] -= 1
+        for x in stack[:k - 1 if k else None:-1]:
+            opened[x.tag].pop()
         del stack[k:]
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(s)
 
+    def last(tags: frozenset[str]) -> int:
+        """The innermost open element of the tags, 0 if none is open."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close(names: frozenset[str], stops: frozenset[str]) -> None:
         """Closes the outermost of the named elements that is open within the stops."""
         if not any(map(opened.get, names)):
             return
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in stops:
-                found = [j for j in range(k + 1, len(stack)) if stack[j].tag in names]
-                break
-        else:
-            found = [j for j in range(1, len(stack)) if stack[j].tag in names]
+        stop = last(stops)
+        found = [own[k] for t in names if (own := opened.get(t)) and (k := bisect_right(own, stop)) < len(own)]
         if found:
-            cut(found[0])
+            cut(min(found))
 
     while pos < n:
         m = TOKEN.search(html, pos)
@@ -111,12 +116,8 @@ def tree(html: str) -> Node:
             if tag in ("p", "br") and not (tag == "p" and opened.get("p")):
                 stack[-1].children.append(Node(tag))
                 continue
-            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
-                if stack[k].tag == tag:
-                    cut(k)
-                    break
-                if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html"):
-                    break
+            if opened.get(tag) and (tag in _TABLE_PARTS or opened[tag][-1] > last(_CELLS)):
+                cut(opened[tag][-1])
             continue
         if tag == "html":
             continue
@@ -149,7 +150,7 @@ def tree(html: str) -> Node:
             continue
         if tag != "body":
             stack.append(node)
-            opened[tag] = opened.get(tag, 0) + 1
+            opened.setdefault(tag, []).append(len(stack) - 1)
     if pos < n:
         text(unescape(html[pos:]))
     return root

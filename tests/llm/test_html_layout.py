@@ -18,6 +18,7 @@ CASES = [
     ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab    c\nd  e  f"), ("<table><tr><td rowspan=2>tall<td>b<tr><td>c</table>", "tall  b\n      c"),
     ("<table><tr><td>x<td>y<tr><td colspan=9>a long title over all</table>", "x  y\na long title over all"), ("<table><tr><th rowspan=0>k<td>1<tr><td>2<tr><td>3</table>", "k  1\n   2\n   3"),
     ("<table><tr><td colspan='x'>a<td colspan=99999999999>b<tr><td>c<td>d</table>", "a  b\nc  d"), ("<table><tr><td colspan=2>wide cell<td>z<tr><td>1<td>2<td>3</table>", "wide cell  z\n1  2       3"),
+    ("<p title='a>b' x=\"c>d\">x", "x"), ("<p title='a>b>x", "b>x"), (f"<p title='{'y' * 5000}'>x", "x"), ("<x><table><tr><td>a</x>b</table>", "ab"), ("<table><tr><td><b>a</td></b>c", "c\n\na"),
     ("<ol start='--5'><li>a</ol>", "1. a"), ("<ol start='²'><li>a</ol>", "1. a"), (f"<ol start='{'9' * 5000}'><li>a</ol>", "1. a"), ("<ol start='-2'><li>a<li>b</ol>", "-2. a\n-1. b"), ("<ol start=' 7x'><li>a</ol>", "7. a"),
     ("<table>" + "<form>" * 3000 + "<tr><td>x", "x"), ("<ul><li><ul><li>x</ul>y</ul>", "- - x\n  y"), ("<ul><li><p>a<p>b<li>c</ul>", "- a\n\n  b\n- c"),
     ("a<blockquote>b<blockquote>c</blockquote></blockquote>d", "a\n\n> b\n>\n> > c\n\nd"), ("<blockquote><ul><li>a<li>b</ul>c</blockquote>", "> - a\n> - b\n>\n> c"), ("<ul><li>a<br><br><li><br>b</ul>", "- a\n- b"),
@@ -41,6 +42,8 @@ def test_deep_and_long():
         assert text_of("<blockquote>w" * n).count("w") == n
         assert text_of("<table><tr><td>w" * n).count("w") == n
         assert text_of("<table>" + "".join(f"<tr><td rowspan={k}>w" for k in range(n))).count("w") == n
+        assert text_of("<x><table><tr><td>" + "<b>" * n + "</x>" * n + "w") == "w"
+        text_of("<a \"" * n), text_of("<a \">" * n), text_of("<a '\"" * n + ">"), text_of("<p><object>" * n + "</p>" * n)
         took.append(time.time() - began)
     assert took[1] < 30 * took[0] + 1
     assert text_of("<div>" * 50000 + "x") == "x"

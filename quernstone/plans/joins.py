@@ -135,13 +135,8 @@ def j15(spark, sf):
 @query("j16_similarity_arg_max", """WITH w AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), p AS (SELECT a.item_id, b.item_id AS best, len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) AS s FROM w a JOIN w b ON a.item_id <> b.item_id)
     SELECT item_id, best, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, best) AS r FROM p WHERE s > 0) WHERE r = 1""")
 def j16(spark, sf):
-    """Jaccard by shared words: only items that share a word meet."""
-    w = t(spark, sf, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
-    x = w.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    met = x.alias("a").join(x.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") != F.col("b.item_id")))
-    s = met.groupBy(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("best"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
-    s = s.select("item_id", "best", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity"))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("similarity"), "best"))).filter("r = 1").drop("r")
+    """Jaccard of word sets; items meet by their rarest words first."""
+    return retrieval.most_similar(t(spark, sf, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("words")), "item_id", "words")
 
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[a-z0-9]+)*|[가-힣]+|[一-鿿]+')"

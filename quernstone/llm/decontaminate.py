@@ -49,19 +49,22 @@ def allowed(length: int, share: float = SHARE) -> int:
     return int(share * length + 1e-9)
 
 
-class Repeat:
-    """One walk: whether step j advances after a word is a bit of the word's random numbers; words[d, item] is what the item has at the d-th
-    sampled step. The random numbers are made again from the seed wherever the walk goes, and are not sent."""
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+
 
-    def __init__(self, seed: int, vocabulary: int, steps: list[int], words: np.ndarray):
-        self.seed, self.vocabulary, self.steps, self.words = seed, vocabulary, steps, words
-        self.bits = np.random.default_rng(seed).integers(0, 2**64, (steps[-1] // 64 + 1, vocabulary), dtype=np.uint64)
+class Repeat:
+    """One walk: whether step j advances after a word is a bit of a hash of the word (64 steps to a hash, so that nothing grows with the vocabulary);
+    words[d, place in the band] is what the piece has at the d-th sampled step."""
 
-    def __reduce__(self):
-        return Repeat, (self.seed, self.vocabulary, self.steps, self.words)
+    def __init__(self, seed: int, steps: list[int], words: np.ndarray):
+        self.seed, self.steps, self.words = seed, steps, words
 
     def advance(self, j: int, w: np.ndarray) -> np.ndarray:
-        return (self.bits[j >> 6][w] >> np.uint64(j & 63) & np.uint64(1)).astype(np.int64)
+        x = (w.astype(np.uint64) + np.uint64((self.seed + (j >> 6)) & 0x7FFFFFFFFFFFFFFF)) * _ODD[0]
+        x ^= x >> np.uint64(32)
+        x *= _ODD[1]
+        x ^= x >> np.uint64(29)
+        return (x >> np.uint64(j & 63) & np.uint64(1)).astype(np.int64)
 
 
 @dataclass
@@ -158,7 +161,7 @@ class Index:
                 b.repeats, b.whole = [], True
                 return
             sampled = sorted(rng.choice(steps, SAMPLED, replace=False).tolist())
-            r = Repeat(int(rng.integers(2**62)), len(self.vocabulary) + 1, sampled, np.full((SAMPLED, len(b.pieces)), -1, np.int32))
+            r = Repeat(int(rng.integers(2**62)), sampled, np.full((SAMPLED, len(b.pieces)), -1, np.int32))
             walk = own_at.copy()
             for j in range(r.steps[-1] + 1):
                 w = own[walk]

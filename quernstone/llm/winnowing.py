@@ -135,8 +135,8 @@ def with_next(docs: DataFrame, ranges: int | None = None, sample: int = 32) -> D
     keyed = docs.withColumn("k", key)
     ranged = keyed.withColumn("range", _range(F.col("k"), _bounds(keyed.select("k"), ranges, sample)))
     firsts = sorted((r["range"], r["k"]) for r in ranged.groupBy("range").agg(F.min("k").alias("k")).collect())
-    links = [(r, tuple(k), firsts[i - 1][0]) for i, (r, k) in enumerate(firsts)]
-    follows = F.broadcast(spark.createDataFrame(links, f"of int, first {KEY}, before int"))  # a row for each range
+    links = json.dumps([{"of": r, "first": k.asDict(), "before": firsts[i - 1][0]} for i, (r, k) in enumerate(firsts)])
+    follows = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(links), f"array<struct<of:int,first:{KEY},before:int>>"))))  # a row for each range
     guests = ranged.join(follows, (F.col("range") == F.col("of")) & (F.col("k") == F.col("first"))).groupBy("before").agg(F.max("text").alias("text"))
     own = ranged.select("range", "k", "doc_id", "text", F.lit(0).alias("guest"))
     return own.unionByName(guests.select(F.col("before").alias("range"), F.lit(None).cast(KEY).alias("k"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("guest")))

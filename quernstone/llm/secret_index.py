@@ -21,6 +21,8 @@ from quernstone.llm.common import stored
 BLOCK = 1024
 #: Strings that a part of an expression may expand to, before it counts as unknown.
 MOST = 32
+#: Candidates that may go to the texts, if Spark's size check agrees; more are joined by a shuffle.
+FEW = 500_000
 #: Elements summed at once in running().
 WIDE = 64
 
@@ -204,11 +206,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (doc_id, text) with spans: array of (start, rank, stop, kind), by start and then rank, the rule's place.
 
     Null text counts as empty. Rows without doc_id aren't in the index and are scanned by every rule. Repeated doc_ids: each row is verified by the
-    rules that any of them may match. Any number of matches. Empty table: empty result. The candidates are written first, so that Spark's own
-    size check can send few of them to the texts instead of shuffling the texts."""
+    rules that any of them may match. Any number of matches. Empty table: empty result. The candidates are written first, so that few of them
+    (FEW at most, and by Spark's own size check) go to the texts instead of shuffling the texts."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     indexed = {r.kind for r in rules if derive(r.pattern) is not None}
-    rows = docs.join(stored(candidates(docs, rules)), "doc_id", "left") if indexed else docs.withColumn("kinds", F.lit(None).cast("array<string>"))
+    if indexed:
+        found = stored(candidates(docs, rules))
+        rows = docs.join(found if found.count() <= FEW else found.hint("merge"), "doc_id", "left")
+    else:
+        rows = docs.withColumn("kinds", F.lit(None).cast("array<string>"))
     each = []
     for rank, r in enumerate(rules):
         every = spans(F.col("text"), r, rank)

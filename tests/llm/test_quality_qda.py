@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 from conftest import SF
 

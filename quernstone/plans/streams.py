@@ -95,8 +95,12 @@ def s22(spark, sf):
 
 @query("k05_reject_counts", "SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN contains(text, '!!') THEN 'shouting' END AS reason, count(*) AS n FROM documents GROUP BY 1")
 def k05(spark, sf):
+    """Kept rows as Parquet, rejected ones with their reason as JSON lines beside them; both are read again for the counts."""
+    at = folder(spark)
     reason = F.when(F.col("n_chars") < 100, "short").when(F.contains("text", F.lit("!!")), "shouting")
-    return table(spark, sf, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    files.write_with_rejects(table(spark, sf, "documents").select("doc_id", reason.alias("reason")), "reason", f"{at}/kept", f"{at}/rejected")
+    kept = spark.read.parquet(f"{at}/kept").select(F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(spark.read.schema("reason string").json(f"{at}/rejected")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("k06_manifest", "SELECT count(*) AS docs, sum(n_chars) AS chars, count(DISTINCT lang) AS langs FROM documents")

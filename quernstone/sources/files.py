@@ -244,11 +244,10 @@ def nested_articles(spark: SparkSession, path: str) -> DataFrame:
     return d.select("d.id", F.array_join(F.filter(F.transform("d.paragraph", lambda p: p["form"]), lambda s: F.length(s) > 0), "\n\n").alias("text"))
 
 
-def write_with_rejects(rows: DataFrame, reason: str, kept: str, rejected: str) -> DataFrame:
-    """Rows without a reason as Parquet to `kept`, the others as JSON lines to `rejected`; counts by reason."""
+def write_with_rejects(rows: DataFrame, reason: str, kept: str, rejected: str) -> None:
+    """Rows without a reason as Parquet to `kept`, the others as JSON lines to `rejected`."""
     rows.filter(F.col(reason).isNull()).drop(reason).write.parquet(kept)
     rows.filter(F.col(reason).isNotNull()).write.json(rejected)
-    return rows.groupBy(reason).agg(F.count("*").alias("n"))
 
 
 def manifest(df: DataFrame) -> str:

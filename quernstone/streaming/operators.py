@@ -28,26 +28,6 @@ def once(rows: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFram
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def sessions(rows: DataFrame, key: str, time: str, idle_ms: int = 1_800_000) -> DataFrame:
-    """key, n, slot of each session when it has been idle: a session sticks to the slot that its first event was given by hash, and is evicted after that."""
-    schema = "key string, n long, slot int"
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, slot = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [k[0]], "n": [n], "slot": [slot]})
-            return
-        n, slot = state.get if state.exists else (0, int(pd.util.hash_array(pd.array([k[0]], dtype="object"))[0] % 8))
-        n += sum(len(b) for b in batches)
-        state.update((n, slot))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + idle_ms)
-        yield pd.DataFrame({"key": [], "n": [], "slot": []}).astype({"key": "object", "n": "int64", "slot": "int32"})
-
-    marked = rows.withWatermark(time, "10 minutes").select(F.col(key).cast("string").alias("key"), time)
-    return marked.groupBy("key").applyInPandasWithState(step, schema, "n long, slot int", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def tumbling(rows: DataFrame, time: str, width: str, *keys: str, late: str = "10 minutes") -> DataFrame:
     """Counts by window and keys (beyond the reference's own operators)."""
     return rows.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")

@@ -1,6 +1,6 @@
 
 import __spark_entry__ as entry
-from conftest import SF
+
 
 
 def test_entry_runs(spark):

@@ -109,6 +109,11 @@ def internal_eod(tokens: Column, grid: int, eod: int = EOD) -> tuple[Column, Col
     return F.size(ends), F.size(F.filter(ends, lambda i: i % grid != 0))
 
 
+def out_of_range(tokens: Column, vocabulary: int) -> Column:
+    """How many ids are negative or not below the vocabulary's size."""
+    return F.size(F.filter(tokens, lambda t: (t < 0) | (t >= vocabulary)))
+
+
 def remap_end(tokens: Column, old: int, new: int) -> Column:
     """The last token, if it is old, as new."""
     return F.when(F.element_at(tokens, -1) == old, F.concat(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.array(F.lit(new)))).otherwise(tokens)

@@ -290,3 +290,9 @@ def l45(spark, sf):
     p = p.withColumn("verdict", F.when(F.length("b") > F.length("a"), "B").otherwise("A"))
     winner, loser = F.when(F.col("verdict") == "B", F.col("b")).otherwise(F.col("a")), F.when(F.col("verdict") == "B", F.col("a")).otherwise(F.col("b"))
     return p.select("conv_id", F.md5(winner).alias("winner"), F.md5(loser).alias("loser"), "verdict")
+
+
+@query("f36_token_range", "SELECT doc_id, len(list_filter(list_transform(string_split(text, ' '), lambda w: length(w) - 1), lambda t: t < 0 OR t >= 12)) AS bad FROM documents")
+def f36(spark, sf):
+    """Ids outside a vocabulary of twelve; a word's length less one stands for its id."""
+    return docs(spark, sf).select("doc_id", T.out_of_range(F.transform(F.split("text", " "), lambda w: F.length(w) - 1), 12).cast("long").alias("bad"))

@@ -388,3 +388,25 @@ def k13(spark, sf):
     array = files.numpy_array(spark, f"{at}/*.npy").groupBy(stem("path")).agg(F.sum(F.get("value", F.lit(0))).alias("total"))
     told = spark.read.text(f"{at}/*.json", wholetext=True).select(stem(F.col("_metadata.file_path")), F.try_variant_get(F.try_parse_json("value"), "$.rows", "long").alias("rows"))
     return told.join(array, "source").select("source", "rows", "total")
+
+
+@query("k04_parquet_sink", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def k04(spark, sf):
+    at = folder(spark)
+    table(spark, sf, "documents").select("lang", "n_chars").write.partitionBy("lang").parquet(at)
+    return spark.read.parquet(at).groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("p03_file_pool", "SELECT 'part' || (item_id % 3) || '.jsonl' AS file, count(*) AS n FROM benchmark GROUP BY 1")
+def p03(spark, sf):
+    """A function over whole files, each by one task: here it counts lines."""
+    at = folder(spark)
+    rows = items(spark, sf).select(F.concat(F.lit("part"), F.col("item_id") % 3).alias("part"), F.to_json(F.struct("item_id")).alias("value"))
+    named.write(as_files(rows, "part", ".jsonl", lambda part: "".join(v + "\n" for v in part["value"]).encode()), at)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"file": [p.rsplit("/", 1)[1] for p in b["path"]], "n": [bytes(c).count(b"\n") for c in b["content"]]})
+
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(at).select("path", "content")
+    return whole.mapInPandas(count, "file string, n long")

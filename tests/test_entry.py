@@ -2,7 +2,6 @@
 import __spark_entry__ as entry
 
 
-
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 

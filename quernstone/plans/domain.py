@@ -137,7 +137,7 @@ def sft(spark, sf):
 @query("l20_sft_documents", """WITH t AS (SELECT conv_id, turn, role, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) AS n FROM conversations WHERE role <> 'system'),
     c AS (SELECT conv_id, sum(n)::BIGINT AS n, sum(n) FILTER (role = 'assistant') AS trained, min_by(role, turn) FILTER (n > 0) AS first FROM t GROUP BY conv_id) SELECT conv_id, n, 4096 AS size, CAST(coalesce(trained, 0) - (first = 'assistant')::INT AS BIGINT) AS labels FROM c WHERE n BETWEEN 1 AND 4096""")
 def l20(spark, sf):
-    return sft(spark, sf).select("conv_id", "n", F.size("input_ids").alias("size"), F.size(F.filter("labels", lambda x: x != -100)).alias("labels"))
+    return sft(spark, sf).select("conv_id", F.col("n").cast("long").alias("n"), F.size("input_ids").alias("size"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("labels"))
 
 
 @query("l23_contract_check", """WITH n AS (SELECT conv_id, sum(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))) AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id)

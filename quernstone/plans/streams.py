@@ -47,7 +47,7 @@ def z03(spark, sf):
     return r.groupBy("key", F.col("slot").cast("long").alias("slot")).agg(F.sum("n").alias("n"))
 
 
-@query("z04_keyed_cache", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) - 1 AS hits, 1 AS misses, min_by(event_type, struct_pack(a := ts, b := event_type)) AS value FROM events GROUP BY user_id")
+@query("z04_keyed_cache", "SELECT CAST(user_id AS VARCHAR) AS key, count(*) - 1 AS hits, 1::BIGINT AS misses, min_by(event_type, struct_pack(a := ts, b := event_type)) AS value FROM events GROUP BY user_id")
 def z04(spark, sf):
     r = drained(Z.cached(stream(spark, sf, "events"), "user_id", "event_type", "ts"))
     return r.groupBy("key").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"), F.max("value").alias("value"))
@@ -63,10 +63,10 @@ def z05(spark, sf):
     return r.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("refused").alias("refused"))
 
 
-@query("z06_event_time_windows", "SELECT start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+@query("z06_event_time_windows", "SELECT CAST(start AS VARCHAR) AS start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def z06(spark, sf):
     """Windows that the watermark has closed."""
-    return drained(Z.tumbling(stream(spark, sf, "events"), "ts", "1 day", "event_type")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return drained(Z.tumbling(stream(spark, sf, "events"), "ts", "1 day", "event_type")).withColumn("start", F.col("start").cast("string"))
 
 
 @query("s01_props_scan", "SELECT count(*) AS rows, count(*) FILTER (props IS NULL OR NOT json_valid(props)) AS parse_errors FROM events")

@@ -176,7 +176,7 @@ def repeated_pattern(t):
 )
 def w19(spark, sf):
     d = docs(spark, sf).select("doc_id", F.posexplode(Wn.paragraph_chunks(F.col("text"), 700)).alias("n", "passage"))
-    return d.select(F.concat_ws("#", "doc_id", "n").alias("passage_id"), "doc_id", F.length("passage").alias("length"))
+    return d.select(F.concat_ws("#", "doc_id", "n").alias("passage_id"), "doc_id", F.length("passage").cast("long").alias("length"))
 
 
 @query(

@@ -28,7 +28,7 @@ def has_special(text: Column) -> Column:
 
 
 def row_reason(messages: Column, most: int = 16, one: int = 12000, all_: int = 40000) -> Column:
-    """The first reason against a conversation, or null."""
+    """The first reason against a conversation, or null. The reasons' names are fixed values."""
     total = F.aggregate(messages, F.lit(0).cast("long"), lambda n, m: n + F.coalesce(F.length(m["text"]), F.lit(0)))
     return (
         F.when(F.size(messages) == 0, F.lit("missing")).when(F.size(messages) > most, F.lit("too_many_turns"))

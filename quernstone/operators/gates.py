@@ -1,4 +1,5 @@
-"""Gates over samples, trajectories, translations and exports. Built-ins but for self-attribution, which needs the places of matches."""
+"""Gates over samples, trajectories, translations and exports. Built-ins but for self-attribution, which needs the places of matches. The names of reasons,
+signals and kinds are fixed values."""
 
 from __future__ import annotations
 

@@ -35,12 +35,18 @@ META = r"번역할 .{0,10}(?:제공|입력)해 주|번역해 드리겠습니다|
 
 @F.pandas_udf(StringType())
 def self_attribution(text: pd.Series) -> pd.Series:
-    """The first vendor self-attribution (80 characters at most) with no negation from 60 characters before it to 40 after it; null if none."""
+    """The first vendor self-attribution (80 characters at most) with no negation from 60 characters before it to 40 after it; null if none.
+
+    A word that the window's edge cuts is no negation ('nor' of 'minor')."""
     claim, negation = re.compile(SELF, re.I), re.compile(NEGATION, re.I)
 
+    def negated(t: str, first: int, last: int) -> bool:
+        m = negation.search(t, first, last + 1)  # word edges see the characters on both sides of the window
+        return m is not None and m.end() <= last
+
     def one(t: str | None) -> str | None:
         for m in claim.finditer(t or ""):
-            if not negation.search(t[max(0, m.start() - 60) : m.end() + 40]):
+            if not negated(t, max(0, m.start() - 60), min(len(t), m.end() + 40)):
                 return m[0][:80]
         return None
 

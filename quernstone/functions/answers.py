@@ -12,8 +12,16 @@ from pyspark.sql.types import StringType
 
 def multiple_choice(text: Column, letters: str = "ABCD") -> Column:
     """Last letter by the first pattern that has a valid one: 'answer is X', '(X)', 'X' alone on a line."""
-    patterns = (rf"(?i)answer(?: is)?:?\s*\(?([{letters}])\b", rf"\(([{letters}])\)", rf"(?m)^\s*([{letters}])\.?\s*$")
-    return F.coalesce(*[F.upper(F.try_element_at(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.lit(-1))) for p in patterns])
+    return F.coalesce(stated_choice(text, letters), *[_last_letter(text, p) for p in (rf"\(([{letters}])\)", rf"(?m)^\s*([{letters}])\.?\s*$")])
+
+
+def stated_choice(text: Column, letters: str = "ABCD") -> Column:
+    """Last letter that the text calls its answer ('answer is X'), the first pattern of multiple_choice alone; null if none is valid."""
+    return _last_letter(text, rf"(?i)answer(?: is)?:?\s*\(?([{letters}])\b")
+
+
+def _last_letter(text: Column, pattern: str) -> Column:
+    return F.upper(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1)))
 
 
 def judge_score(text: Column) -> Column:

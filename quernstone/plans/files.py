@@ -211,8 +211,7 @@ def k03(spark, sf):
     """Two parts merged: counts and tokens are kept, and numbers go on without a gap."""
     d = table(spark, sf, "documents")
     tokens = F.transform(F.split("text", " "), lambda w: F.length(w)).alias("tokens")
-    parts = [spark.read.format("mmididx").load(indexed(spark, sf, d.filter(c).select(tokens).coalesce(1))) for c in ("lang = 'en'", "lang <> 'en'")]
-    whole = mmididx.merged(parts)
+    whole = mmididx.merged(spark, [indexed(spark, sf, d.filter(c).select(tokens)) for c in ("lang = 'en'", "coalesce(lang <> 'en', true)")])
     return whole.agg(F.count("*").alias("sequences"), F.countDistinct("seq_id").alias("ids"), F.max("seq_id").alias("last"), F.sum("length").cast("long").alias("tokens"))
 
 

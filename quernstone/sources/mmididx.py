@@ -1,7 +1,7 @@
 """Indexed token datasets (.idx with header, lengths, byte pointers, document starts; .bin with flat tokens) as a Spark data source.
 
 spark.read.format("mmididx").load(prefix or folder): seq_id long, length int, tokens array<int>, path string. Only the index is read for
-plans made of `lengths()`. df.write.format("mmididx") writes one pair of files for each task; Spark's commit then names them."""
+plans made of `lengths()`. seq_id counts in each file; with the option `first` it counts on over all files, from that number. df.write.format("mmididx") writes one pair of files for each task; Spark's commit then names them."""
 
 from __future__ import annotations
 
@@ -52,24 +52,32 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Slice(InputPartition):
-    def __init__(self, prefix: str, first: int, last: int):
+    def __init__(self, prefix: str, first: int, last: int, number: int):
         super().__init__(0)
-        self.prefix, self.first, self.last = prefix, first, last
+        self.prefix, self.first, self.last, self.number = prefix, first, last, number
+
+
+def indexes(path: str) -> list[tuple[str, int]]:
+    """(prefix, sequences) of each index file of a prefix or folder by name, from the headers."""
+    fs, at = _store(path.removesuffix(".idx").removesuffix(".bin"))
+    info, out = fs.get_file_info(at), []
+    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.path.endswith(".idx")) if info.type == pafs.FileType.Directory else [f"{at}.idx"]
+    for f in found:
+        with fs.open_input_file(f) as s:
+            out.append((f.removesuffix(".idx"), header(s.read(34))[1]))
+    return out
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.removesuffix(".idx").removesuffix(".bin")
+    def __init__(self, path: str, first: int | None):
+        self.path, self.first = path, first
 
     def partitions(self) -> list[InputPartition]:
-        fs, path = _store(self.path)
-        info = fs.get_file_info(path)
-        found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.path.endswith(".idx")) if info.type == pafs.FileType.Directory else [f"{path}.idx"]
         out: list[InputPartition] = []
-        for f in found:
-            with fs.open_input_file(f) as s:
-                _, n, _ = header(s.read(34))
-            out += [_Slice(f.removesuffix(".idx"), i, min(n, i + SLICE)) for i in range(0, n, SLICE)]
+        before = self.first
+        for prefix, n in indexes(self.path):
+            out += [_Slice(prefix, i, min(n, i + SLICE), i + (before or 0)) for i in range(0, n, SLICE)]
+            before = None if before is None else before + n
         return out
 
     def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
@@ -87,7 +95,7 @@ class _Reader(DataSourceReader):
             flat = np.frombuffer(s.read(int(at[-1] - at[0]) + int(lengths[-1]) * size), DTYPES[code]).astype(np.int32)
         starts = ((at - at[0]) // size).astype(np.int64)
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate((starts, [len(flat)])), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.last)), pa.array(lengths), tokens, pa.array([part.prefix] * k)], names=["seq_id", "length", "tokens", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.number, part.number + k)), pa.array(lengths), tokens, pa.array([part.prefix] * k)], names=["seq_id", "length", "tokens", "path"])
 
 
 class _Written(WriterCommitMessage):
@@ -148,7 +156,7 @@ class IndexedTokens(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options["first"]) if "first" in self.options else None)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], int(self.options.get("dtype", "4")), overwrite)
@@ -170,11 +178,11 @@ def lengths(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", totals("content").alias("t")).select("path", "t.sequences", "t.tokens")
 
 
-def merged(parts: list[DataFrame]) -> DataFrame:
-    """Parts one after the other: seq_id goes on where the part before ended."""
+def merged(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Datasets one after the other, each with all its files: seq_id goes on where the file before ended. Only headers are read for that."""
     out, before = None, 0
-    for p in parts:
-        one = p.withColumn("seq_id", F.col("seq_id") + before)
+    for path in paths:
+        one = spark.read.format("mmididx").option("first", before).load(path)
         out = one if out is None else out.unionByName(one)
-        before += p.count()
+        before += sum(n for _, n in indexes(path))
     return out

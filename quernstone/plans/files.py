@@ -365,7 +365,7 @@ def k11(spark, sf):
     """The retrieval index as a table, written and read again."""
     at = folder(spark)
     retrieval.postings(table(spark, sf, "documents"), "doc_id", "text").write.parquet(at)
-    return spark.read.parquet(at).groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+    return retrieval.document_frequencies(spark.read.parquet(at))
 
 
 @query("k13_array_export", "SELECT source, count(*) AS rows, CAST(sum(n_chars) AS DOUBLE) AS total FROM documents GROUP BY source")

@@ -160,8 +160,7 @@ def ranked(spark, sf, passages, most):
     retrieval.postings(passages, "doc_id", "text").write.parquet(at)
     index = spark.read.parquet(at)
     queries = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = retrieval.bm25(queries, index, "doc_id", 1000).withColumn("score", F.round("score", 6))
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("r") <= most).drop("r")
+    return retrieval.bm25(queries, index, "doc_id", most)
 
 
 @query("o19_over_fetched_top", f"""WITH p AS (SELECT doc_id, {TOK} AS t FROM documents), x AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM p), i AS (SELECT term, doc_id, length, count(*) AS tf FROM x GROUP BY ALL),

@@ -18,6 +18,10 @@ from quernstone.sources.tables import table
 from quernstone.streaming import operators as Z
 
 
+#: Bytes of text in a file that a task makes or reads as one value.
+FILE_BYTES = 16_000_000
+
+
 def items(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", "text")
 
@@ -31,6 +35,15 @@ def arrays(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.to_json(F.collect_list(F.struct(*[c for c in df.columns if c != by]))).alias("value")).select("value")
 
 
+def dealt(df: DataFrame, by: str, key: str, size) -> DataFrame:
+    """df with part: values of `by`, each dealt by key to as many parts as it has `FILE_BYTES` of `size` (a column of bytes), and a task for each part: files stay of
+    one size however many rows there are. What is broadcast is a row for each value of `by`."""
+    pieces = df.groupBy(F.col(by).alias("__by")).agg((F.ceil(F.sum(size) / FILE_BYTES)).alias("__n"))
+    n = pieces.agg(F.sum("__n")).first()[0] or 1
+    part = F.concat_ws("-", by, F.pmod(F.xxhash64(key), F.greatest(F.coalesce("__n", F.lit(1)), F.lit(1))))
+    return df.join(F.broadcast(pieces), df[by].eqNullSafe(F.col("__by"))).withColumn("part", part).drop("__by", "__n").repartition(int(n), "part")
+
+
 def as_files(df: DataFrame, by: str, ending: str, make) -> DataFrame:
     """name, content: the rows of each value of `by` as one file, made by make(frame)."""
 
@@ -53,7 +66,7 @@ def s02(spark, sf):
 @query("s03_json_arrays", "SELECT doc_id, length(text) AS n FROM documents")
 def s03(spark, sf):
     at, d = folder(spark), table(spark, sf, "documents")
-    arrays(d.select("doc_id", F.col("text").alias("output"), "source"), "source").write.text(at)
+    arrays(dealt(d.select("doc_id", F.col("text").alias("output"), "source"), "source", "doc_id", F.octet_length("output")).drop("source"), "part").write.text(at)
     rows = files.json_any(spark, at)
     return rows.select(F.try_variant_get("value", "$.doc_id", "long").alias("doc_id"), F.length(F.try_variant_get("value", "$.output", "string")).cast("long").alias("n"))
 
@@ -162,9 +175,9 @@ def s13(spark, sf):
 def s14(spark, sf):
     at, d = folder(spark), table(spark, sf, "documents")
     paragraphs = F.transform(F.split("text", "\n"), lambda s: F.struct(s.alias("form")))
-    one = d.select("source", F.struct(F.col("doc_id").cast("string").alias("id"), paragraphs.alias("paragraph")).alias("a"))
-    whole = one.groupBy(F.col("source").alias("part")).agg(F.to_json(F.struct(F.collect_list("a").alias("document"))).alias("value"))
-    named.write(as_files(whole, "part", ".json", lambda rows: rows["value"].iloc[0].encode()), at)
+    one = dealt(d.select("source", "doc_id", "text"), "source", "doc_id", F.octet_length("text")).select("part", F.struct(F.col("doc_id").cast("string").alias("id"), paragraphs.alias("paragraph")).alias("a"))
+    whole = one.groupBy("part").agg(F.to_json(F.struct(F.collect_list("a").alias("document"))).alias("value"))
+    named.write(whole.select(F.concat("part", F.lit(".json")).alias("name"), F.col("value").cast("binary").alias("content")), at)
     return files.nested_articles(spark, f"{at}/*.json").select("id", "text")
 
 
@@ -208,7 +221,7 @@ def k02(spark, sf):
 
 @query("k03_merged_parts", "WITH m AS (SELECT 0 AS part, lang <> 'en' AS later, len(string_split(text, ' ')) AS n FROM documents) SELECT count(*) AS sequences, count(DISTINCT seq) AS ids, CAST(max(seq) AS BIGINT) AS last, CAST(sum(n) AS BIGINT) AS tokens FROM (SELECT n, row_number() OVER () - 1 AS seq FROM m)")
 def k03(spark, sf):
-    """Two parts merged: counts and tokens are kept, and numbers go on without a gap."""
+    """Two parts of many files each merged: counts and tokens are kept, and numbers go on without a gap."""
     d = table(spark, sf, "documents")
     tokens = F.transform(F.split("text", " "), lambda w: F.length(w)).alias("tokens")
     whole = mmididx.merged(spark, [indexed(spark, sf, d.filter(c).select(tokens)) for c in ("lang = 'en'", "coalesce(lang <> 'en', true)")])

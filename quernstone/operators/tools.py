@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quernstone.functions.text import let
+
 #: JSON Schema names of the types that other dialects write.
 TYPES = {
     "dict": "object", "str": "string", "string": "string", "int": "integer", "integer": "integer", "float": "number", "number": "number",
@@ -18,14 +20,16 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
 
 def _object(v: Column, path: str) -> Column:
     """The object at a path as a variant, or null."""
-    found = _get(v, path, "variant")
-    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+    return let(_get(v, path, "variant"), lambda found: F.when(F.schema_of_variant(found).startswith("OBJECT"), found))
 
 
 def normal_tool(json: Column) -> Column:
     """struct(name, description, parameters (JSON)) of a declaration in any of three dialects: {function: {name, parameters}} or bare, {id, inputSchema:
-    {jsonSchema}}, {name, input_schema}. Null where no name is found or it is no object."""
-    v = F.try_parse_json(json)
+    {jsonSchema}}, {name, input_schema}. Null where no name is found or it is no object. The text is parsed once."""
+    return let(F.try_parse_json(json), _normal)
+
+
+def _normal(v: Column) -> Column:
     each = lambda *paths: F.coalesce(*[F.nullif(_get(v, p), F.lit("")) for p in paths])
     name = each("$.function.name", "$.function.id", "$.name", "$.id")
     places = [f"{at}.{k}{inner}" for at in ("$.function", "$") for k in ("inputSchema", "input_schema", "parameters_schema") for inner in (".jsonSchema", "")]

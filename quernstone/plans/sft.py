@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import scrub_scaffold
+from quernstone.functions.text import held, let, scrub_scaffold
 from quernstone.operators import chat, intervals, media, statistics, tools as T
 from quernstone.plans.registry import query
 from quernstone.sources.scratch import folder
@@ -18,7 +18,7 @@ def turns(spark, sf):
 @query("l12_tool_schemas", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE p_name END AS name, CASE WHEN p_partkey % 5 < 2 THEN p_type END AS description, CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 5 = 3 THEN 'object' ELSE p_brand END AS kind FROM part")
 def l12(spark, sf):
     """Declarations in the function, MCP, Anthropic, schema-less and nameless forms; kind is what their parameters say."""
-    k, q = F.col("p_partkey") % 5, lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
+    k, q = F.col("p_partkey") % 5, lambda c: let(F.to_json(F.struct(F.col(c).alias("v"))), lambda j: j.substr(F.lit(6), F.length(j) - 6))
     schema = F.concat(F.lit('{"type":'), q("p_brand"), F.lit(',"properties":{}}'))
     form = (
         F.when(k == 0, F.concat(F.lit('{"type":"function","function":{"name":'), q("p_name"), F.lit(',"description":'), q("p_type"), F.lit(',"parameters":'), schema, F.lit("}}")))
@@ -26,7 +26,7 @@ def l12(spark, sf):
         .when(k == 2, F.concat(F.lit('{"name":'), q("p_name"), F.lit(',"input_schema":'), schema, F.lit("}"))).when(k == 3, F.concat(F.lit('{"name":'), q("p_name"), F.lit("}")))
         .otherwise(F.concat(F.lit('{"parameters":'), schema, F.lit("}")))
     )
-    t = table(spark, sf, "part").select("p_partkey", T.normal_tool(form).alias("t"))
+    t = table(spark, sf, "part").select("p_partkey", held(T.normal_tool(form)).alias("t"))
     return t.select("p_partkey", "t.name", "t.description", F.try_variant_get(F.try_parse_json("t.parameters"), "$.type", "string").alias("kind"))
 
 

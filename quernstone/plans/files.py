@@ -167,7 +167,8 @@ def s13(spark, sf):
 
         return bz2.compress(("<mediawiki>\n" + "\n".join(rows["value"]) + "\n</mediawiki>\n").encode())
 
-    named.write(as_files(p.select(page.alias("value"), F.concat(F.lit("part"), F.col("page_id") % 2).alias("part")), "part", ".xml.bz2", make), at)
+    rows = dealt(p.select("page_id", page.alias("value"), F.concat(F.lit("part"), F.col("page_id") % 2).alias("part")), "part", "page_id", F.octet_length("value"))
+    named.write(as_files(rows.drop("page_id"), "part", ".xml.bz2", make), at)
     return files.wiki_pages(spark, f"{at}/*.bz2").select("title", F.length("text").cast("long").alias("n"))
 
 
@@ -238,7 +239,8 @@ def s17(spark, sf):
         return out.getvalue()
 
     at = folder(spark)
-    named.write(as_files(table(spark, sf, "embeddings").select("vec_id", "embedding", F.concat(F.lit("p"), F.col("vec_id") % 3).alias("part")), "part", ".npy", make), at)
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.concat(F.lit("p"), F.col("vec_id") % 3).alias("part"))
+    named.write(as_files(dealt(rows, "part", "vec_id", F.size("embedding") * 8), "part", ".npy", make), at)
     rows = files.numpy_array(spark, f"{at}/*.npy")
     return rows.select(F.get("value", F.lit(0)).cast("long").alias("vec_id"), F.array_max(F.slice("value", 2, 10**6)).alias("most"))
 
@@ -322,11 +324,11 @@ def s25(spark, sf):
     at = folder(spark)
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.col("role").alias("from"), F.col("text").alias("value"))).alias("conversations"))
     c = c.select(F.col("conv_id").cast("string").alias("id"), F.concat("conv_id", F.lit(".jpg")).alias("image"), "conversations", (F.col("conv_id") % 4).alias("part"))
-    text = lambda rows: rows["value"].iloc[0].encode()
-    whole = c.filter("part < 2").groupBy("part").agg(F.to_json(F.collect_list(F.struct("id", "image", "conversations"))).alias("value"))
-    flat = c.filter("part >= 2").groupBy("part").agg(F.array_join(F.collect_list(F.to_json(F.struct("id", "image", "conversations"))), "\n").alias("value"))
+    c = dealt(c.withColumn("kind", F.when(F.col("part") < 2, "json").otherwise("jsonl")), "part", "id", F.octet_length(F.to_json("conversations")))
+    whole = c.filter("kind = 'json'").groupBy("part").agg(F.to_json(F.collect_list(F.struct("id", "image", "conversations"))).alias("value"))
+    flat = c.filter("kind = 'jsonl'").groupBy("part").agg(F.array_join(F.collect_list(F.to_json(F.struct("id", "image", "conversations"))), "\n").alias("value"))
     for kind, rows in (("json", whole), ("jsonl", flat)):
-        named.write(as_files(rows.withColumn("part", F.concat(F.lit("deep/er/"), "part")), "part", f".{kind}", text), f"{at}/{kind}")
+        named.write(rows.select(F.concat(F.lit("deep/er/"), "part", F.lit(f".{kind}")).alias("name"), F.col("value").cast("binary").alias("content")), f"{at}/{kind}")
     return files.media_conversations(spark, at, "/data")
 
 
